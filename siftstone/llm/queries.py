@@ -34,3 +34,77 @@ def op9_language_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder("doc_id", 4) == 2
     profiles = learn(docs.where(~held_out), "text", "lang", "doc_id")
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op4_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import table
+    from .simhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxic_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import id_remainder, table
+    from .toxic_subword import fit, sample, score_documents
+
+    docs, held_out = table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 0
+    texts, labels = sample(docs.where(~held_out), table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    return score_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), fit(texts, labels))
+
+
+@query
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import table
+    from .line_quality import BASE, judge
+
+    return judge(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id").select("doc_id", *BASE, "base_failed", "kept", "removed")
+
+
+@query
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bestfit_pack import pack
+    from .common import table
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import table
+    from .warc_zstd import read_archives, stored, write_archives
+
+    archives = stored(write_archives(table(spark, sf_dir, "pages")))
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op8_rare_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import table
+    from .rare_digest import compare_with_next, learn_ranks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compare_with_next(docs, learn_ranks(docs))
+
+
+#: The rules that the contract of op1 names.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import table
+    from .url_trust import judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES).drop("trust", "distrust")
+
+
+@query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import table
+    from .pii_surrogate import replace
+
+    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
