@@ -140,15 +140,17 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [judge(x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+            out = [judge(x.as_py()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[extra:], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*batch.schema.names[extra:], "lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    extra = int(text not in kept)
+    at = 0 if extra else kept.index(text)
     fields = [docs.schema[c] for c in kept]
     from pyspark.sql import types as T
 
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(text).alias("__whole_text"), *kept).mapInArrow(run, schema)
+    return docs.select(*[F.col(text).alias("__whole_text")] * extra, *kept).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None) -> DataFrame:

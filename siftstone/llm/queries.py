@@ -108,3 +108,10 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii_surrogate import replace
 
     return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -2,7 +2,8 @@
 
 A word (a run of letters, lower-cased) has features: itself and its n-grams of 3 to 5 characters with marks for
 start and end, hashed to ``BUCKETS`` rows of an embedding. A word's vector is the mean of its features' rows, a
-document's the mean of its words' vectors, and a linear layer with softmax turns that into two probabilities.
+document's the mean of its different words' vectors and ``PADDING`` zero vectors, so that neither much repeated words
+nor very short texts decide by chance. A linear layer with softmax turns that into two probabilities.
 Both the rows and the layer are learned by Adagrad on the same loss, so a misspelling that was never seen has
 the vectors of those n-grams that it shares with known words.
 
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from math import exp
 
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 DOCS_PER_LABEL, WORDS_PER_DOC = 2500, 2000
-EPOCHS, BATCH, RATE, GAIN = 5, 64, 0.3, 8.0
+EPOCHS, BATCH, RATE, GAIN, PADDING, DECAY = 5, 64, 0.3, 8.0, 30, 1e-3
 #: Longer runs of letters are cut for features only.
 WORD_CHARS = 64
 _WORD = re.compile(r"[^\W\d_]+")
@@ -66,7 +66,7 @@ class Model:
 
         def score(text: str | None) -> float:
             nonlocal known
-            found = words(text)
+            found = set(words(text))
             if len(known) > _KEPT_WORDS:
                 known = {}
             total = 0.0
@@ -75,7 +75,7 @@ class Model:
                 if x is None:
                     x = known[w] = word(w)
                 total += x
-            z = bias + (total / len(found) if found else 0.0)
+            z = bias + total / (len(found) + PADDING)
             return 1.0 / (1.0 + exp(-z)) if z >= 0 else exp(z) / (1.0 + exp(z))
 
         return score
@@ -88,10 +88,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     vocabulary: dict[str, int] = {}
     bags = []
     for t in texts:
-        bag = Counter(words(t))
-        chosen = list(bag.items())[:: max(1, -(-len(bag) // WORDS_PER_DOC))]
-        ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w, _ in chosen), np.int64, len(chosen))
-        bags.append((ids, np.fromiter((n for _, n in chosen), np.float64, len(chosen))))
+        bag = list(dict.fromkeys(words(t)))
+        chosen = bag[:: max(1, -(-len(bag) // WORDS_PER_DOC))]
+        bags.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in chosen), np.int64, len(chosen)))
     rows = [features(w) for w in vocabulary]
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -106,12 +105,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
-            batch = [b for b in order[at : at + BATCH] if len(bags[b][0])]
+            batch = [b for b in order[at : at + BATCH] if len(bags[b])]
             if not batch:
                 continue
-            doc = np.repeat(np.arange(len(batch)), [len(bags[b][0]) for b in batch])
-            share = np.concatenate([bags[b][1] / bags[b][1].sum() for b in batch])
-            own, inverse = np.unique(np.concatenate([bags[b][0] for b in batch]), return_inverse=True)
+            doc = np.repeat(np.arange(len(batch)), [len(bags[b]) for b in batch])
+            share = np.concatenate([np.full(len(bags[b]), 1.0 / (len(bags[b]) + PADDING)) for b in batch])
+            own, inverse = np.unique(np.concatenate([bags[b] for b in batch]), return_inverse=True)
             n = sizes[own]
             ends = np.cumsum(n)
             place = np.arange(ends[-1]) + np.repeat(starts[own] - (ends - n), n)
@@ -127,7 +126,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             to_vectors = per_row(inverse, to_mean[doc] * share[:, None], len(own)) / n[:, None]
             to_table = per_row(slot, np.repeat(to_vectors, n, axis=0), len(used))
             seen_table[used] += (to_table**2).mean(axis=1)
-            table[used] -= RATE * to_table / np.sqrt(seen_table[used])[:, None]
+            table[used] -= RATE * (to_table / np.sqrt(seen_table[used])[:, None] + DECAY * table[used])
             seen_layer += to_layer**2
             layer -= RATE * to_layer / np.sqrt(seen_layer)
             seen_bias += to_bias**2
