@@ -33,13 +33,21 @@ from .bpe_tree import little_endian
 from .common import cut
 
 CAPACITY = 2048
-_KEPT_WORDS = 200_000
+_KEPT_WORDS = 400_000
 _CODERS: dict[str, "WordCoder"] = {}
 
 
 class WordCoder:
     """Ids of whole texts by a tokenizer file whose matches never span ASCII white space. So runs without it
-    are encoded once and kept, up to a bound."""
+    are encoded once and kept as bytes, up to a bound: the words of the last generation that are met again move to
+    the present one, the rest are forgotten with it.
+
+    A word is encoded as its core, in lower case where that is ASCII, and its tail of ASCII punctuation: after a letter or
+    a digit no match goes on with punctuation. So a core is encoded once, whatever follows it. Unknown parts are encoded many
+    at a time, as one text with a mark between them; parts that have the mark's character are encoded alone."""
+
+    MARK = "|"
+    TAIL = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,21 +55,62 @@ class WordCoder:
 
         self.library = Tokenizer.from_file(tokenizer_file)
         self.library.encode_special_tokens = True
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[array]:
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        mark = self.ids(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(self.TAIL)
+        if core.isascii():
+            return (core.lower(), word[len(core) :]) if core else (word, b"")
+        if len(core) < len(word) and not core.decode()[-1].isalpha():
+            return word, b""
+        return core, word[len(core) :]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Make all of ``words`` known."""
+        known, before, split = self.known, self.before, []
+        for w in words:
+            if (old := before.get(w)) is not None:
+                known[w] = old
+            else:
+                split.append((w, *self.parts(w)))
+        together, alone = {}, self.mark is None
+        for w, core, tail in split:
+            for part in (core, tail):
+                if part and part not in known and part not in together:
+                    if (old := before.get(part)) is not None:
+                        known[part] = old
+                    elif alone or b"|" in part:
+                        known[part] = little_endian(array("I", self.ids(part.decode())))
+                    else:
+                        together[part] = None
+        todo = list(together)
+        for at in range(0, len(todo), 1024):
+            part = todo[at : at + 1024]
+            ids = np.array(self.ids(f" {self.MARK} ".join([w.decode() for w in part])), "<u4")
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(part) - 1:
+                raise ValueError("this tokenizer joins words across the mark")
+            data = ids.tobytes()
+            starts, ends = [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), len(data)]
+            known.update(zip(part, [data[a:b] for a, b in zip(starts, ends)]))
+        for w, core, tail in split:
+            if w != core:
+                known[w] = known[core] + known[tail] if tail else known[core]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > _KEPT_WORDS:
-            self.known = {}
-        known, out = self.known, []
+            self.before, self.known = self.known, {}
         runs = [(t or "").encode().split() for t in texts]
-        new = list(set(chain.from_iterable(runs)).difference(known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, code in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = tuple(code.ids)
-        for run in runs:
-            out.append(array("I", chain.from_iterable(map(known.__getitem__, run))))
-        return out
+        self.learn(list(set(chain.from_iterable(runs)).difference(self.known)))
+        of = self.known.__getitem__
+        return [b"".join(map(of, run)) for run in runs]
 
 
 def coder(tokenizer_file: str) -> WordCoder:
@@ -141,16 +190,16 @@ def pieces(docs: DataFrame, tokenizer_file: str, key: str, text: str, capacity:
     """(key, piece, start, length, ids_crc32, task, nth): nth numbers the pieces of a length in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, task, nth = coder(tokenizer_file), TaskContext.get().partitionId(), {}
+        own, task, nth, end = coder(tokenizer_file), TaskContext.get().partitionId(), {}, end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows, index = [], []
                 for i, ids in enumerate(own.encode(part.column(1).to_pylist())):
-                    ids.append(end_id)
-                    data = memoryview(little_endian(ids))
-                    for p, start in enumerate(range(0, len(ids), capacity)):
-                        n = min(capacity, len(ids) - start)
+                    data = memoryview(ids + end)
+                    total = len(data) // 4
+                    for p, start in enumerate(range(0, total, capacity)):
+                        n = min(capacity, total - start)
                         nth[n] = k = nth.get(n, -1) + 1
                         rows.append((p, start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), task, k))
                         index.append(i)
