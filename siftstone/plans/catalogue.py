@@ -1,6 +1,521 @@
-"""Registered queries of the inspection engine and their DuckDB equivalents."""
+"""Registered queries of the inspection engine, each with the DuckDB SQL that gives the same rows.
+
+``files`` is the table ``documents`` with its text as content; ``embeddings`` are rasters of 8 x 8 values; metadata fields come
+from events and from customers and suppliers. Every query runs over whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bytesops as B
+from ..functions.shipping import ship
+from ..operators import batch, duplicates, entities, identity, logs, metadata, raster, rules
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: Prefixes that give the documents different signatures, by doc_id modulo their number.
+PREFIXES = ["", "FFD8FFE0", "89504E470D0A1A0A", "474946383961", "52494646000000005745425000", "424D", "49492A00", "000000186674797061766966", "000000186674797068656963", "000000186674797069736F6D"]
+SUFFIXES = [".jpg", ".png", ".gif", ".txt", "", ".webp", ".heic"]
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{d}/{name}.parquet")
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+
+
+def signed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents behind the prefixes of known file types, with names that often do not fit."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.pmod("doc_id", F.lit(n)) + 1).cast("int"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("f"), "doc_id", pick(SUFFIXES, len(SUFFIXES))).alias("name"), F.concat(F.unhex(pick(PREFIXES, len(PREFIXES))), F.encode("text", "UTF-8")).alias("content"))
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
+
+
+HEX_BYTES = "regexp_extract_all(hex(encode(text)), '[0-9A-F]{2}')"
+
+
+@query("select doc_id as file_id, sha256(text) as sha256, sha1(text) as sha1, md5(text) as md5 from documents")
+def file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return identity.identity(files(spark, d), entropy=False).select("file_id", "sha256", "sha1", "md5")
+
+
+@query()
+def file_crc32(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", B.crc32_hex(F.col("content")).alias("crc32"))
+
+
+@query(f"select b as byte, count(*) as n from (select unnest({HEX_BYTES}) as b from documents) group by 1")
+def byte_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select(F.explode(B.byte_pairs(F.col("content"))).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+
+
+@query(f"select doc_id as file_id, round(entropy(b), 6) as entropy, count(*) as n_bytes from (select doc_id, unnest({HEX_BYTES}) as b from documents) group by 1")
+def byte_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return identity.entropy_table(files(spark, d)).select("file_id", F.round("entropy", 6).alias("entropy"), "n_bytes")
+
+
+@query(f"with b as (select doc_id, unnest({HEX_BYTES}) as b, generate_subscripts({HEX_BYTES}, 1) as i from documents) select doc_id as file_id, (i - 1) // 1024 as block, round(entropy(b), 6) as entropy, count(*) as n_bytes from b group by 1, 2")
+def block_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return identity.entropy_table(files(spark, d), block=1024).select("file_id", "block", F.round("entropy", 6).alias("entropy"), "n_bytes")
+
+
+_SIGNED = f"""with f as (select doc_id as file_id, 'f' || doc_id || ({SUFFIXES!r})[(doc_id % {len(SUFFIXES)} + 1)::int] as name,
+ ({PREFIXES!r})[(doc_id % {len(PREFIXES)} + 1)::int] || hex(encode(text)) as h from documents), t as (select file_id, name, regexp_extract(name, '\\.[^.]*$') as extension,
+ case when h like 'FFD8FF%' then 'JPEG' when h like '89504E470D0A1A0A%' then 'PNG' when h like '474946383761%' or h like '474946383961%' then 'GIF'
+ when h like '52494646%' and h[17:24] = '57454250' then 'WebP' when h like '424D%' then 'BMP' when h like '49492A00%' or h like '4D4D002A%' then 'TIFF'
+ when h[9:16] = '66747970' and length(h) >= 24 then case h[17:24] when '61766966' then 'AVIF' when '61766973' then 'AVIF' when '68656963' then 'HEIF/HEIC' else 'ISO-BMFF' end else 'Unknown' end as detected_type from f)"""
+
+
+@query(_SIGNED + " select file_id, detected_type, extension from t")
+def magic_classify(spark: SparkSession, d: str) -> DataFrame:
+    return identity.identity(signed(spark, d), entropy=False).select("file_id", "detected_type", "extension")
+
+
+@query(
+    _SIGNED
+    + """ select file_id, case detected_type when 'JPEG' then extension not in ('.jpg', '.jpeg') when 'PNG' then extension <> '.png' when 'GIF' then extension <> '.gif' when 'WebP' then extension <> '.webp'
+ when 'BMP' then extension <> '.bmp' when 'TIFF' then extension not in ('.tif', '.tiff', '.dng') when 'AVIF' then extension <> '.avif' when 'HEIF/HEIC' then extension not in ('.heic', '.heif', '.hif') else false end as extension_mismatch,
+ case extension when '.jpg' then 'image/jpeg' when '.png' then 'image/png' when '.gif' then 'image/gif' when '.webp' then 'image/webp' when '.heic' then 'image/heif' else 'application/octet-stream' end as declared_mime from t"""
+)
+def extension_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    return identity.identity(signed(spark, d), entropy=False).select("file_id", "extension_mismatch", "declared_mime")
+
+
+@query("select doc_id as file_id, nullif(first_value('doc_' || doc_id || '.txt') over (partition by sha256(text) order by doc_id), 'doc_' || doc_id || '.txt') as duplicate_of from documents")
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d).select("file_id", "ord", "name", F.sha2("content", 256).alias("sha256"))
+    return duplicates.exact_duplicates(rows).select("file_id", "duplicate_of")
+
+
+_CELLS = "c as (select vec_id, i - 1 as i, (i - 1) % 8 as x, (i - 1) // 8 as y, embedding[i]::double as v from embeddings, range(1, 65) r(i))"
+_BIT = "case when i = 63 then -9223372036854775808 else (1::bigint << i::int) end"
+_AHASH = f"{_CELLS}, m as (select vec_id, sum(v order by i) / 64 as mu from c group by 1), ah as (select vec_id, bit_or(case when v >= mu then {_BIT} else 0::bigint end) as h from c join m using (vec_id) group by 1)"
+
+
+def hashes(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", raster.average_hash(F.col("p")).alias("h"))
+
+
+@query(f"with {_AHASH} select vec_id, h as a_hash, lpad(lower(printf('%x', h)), 16, '0') as a_hash_hex from ah")
+def ahash(spark: SparkSession, d: str) -> DataFrame:
+    return hashes(spark, d).select("vec_id", F.col("h").alias("a_hash"), B.hash_to_hex(F.col("h")).alias("a_hash_hex"))
+
+
+@query(f"with {_CELLS} select a.vec_id, bit_or(case when a.v > b.v then 1::bigint << (a.y * 7 + a.x)::int else 0::bigint end) as d_hash from c a join c b on a.vec_id = b.vec_id and a.y = b.y and b.x = a.x + 1 group by 1")
+def dhash_cells(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", raster.difference_hash(F.col("p"), 8, 8).alias("d_hash"))
+
+
+@query(f"with {_AHASH} select a.vec_id as vec_a, b.vec_id as vec_b, 1 - bit_count(xor(a.h, b.h)) / 64.0::double as similarity from ah a join ah b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 16")
+def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.similar_pairs(hashes(spark, d), "h", "vec_id", 0.75).select(F.col("order_a").alias("vec_a"), F.col("order_b").alias("vec_b"), "similarity")
+
+
+_TOP1 = f"""with {_AHASH}, p as (select b.vec_id, a.vec_id as other, bit_count(xor(a.h, b.h)) as dist from ah a join ah b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 16),
+ t as (select *, row_number() over (partition by vec_id order by dist, other) as rn from p) select e.vec_id, 'v' || t.other as near_duplicate_of, 1 - t.dist / 64.0::double as similarity from embeddings e left join t on t.vec_id = e.vec_id and rn = 1"""
+
+
+@query(_TOP1)
+def near_duplicates_top1(spark: SparkSession, d: str) -> DataFrame:
+    rows = hashes(spark, d).withColumn("name", F.concat(F.lit("v"), "vec_id"))
+    return duplicates.near_duplicates(rows, "h", "name", "vec_id", 0.75).select("vec_id", "near_duplicate_of", "similarity")
+
+
+_TEXT_HASH = "h as (select doc_id, (('0x' || substr(md5(regexp_replace(text, '[^a-z]', '', 'g')[1:12]), 1, 15))::bigint) as h from documents)"
+
+
+@query(f"with {_TEXT_HASH} select a.doc_id as order_a, b.doc_id as order_b, 1 - bit_count(xor(a.h, b.h)) / 64.0::double as similarity from h a join h b on a.doc_id < b.doc_id and bit_count(xor(a.h, b.h)) <= 3")
+def near_duplicates_banded(spark: SparkSession, d: str) -> DataFrame:
+    h = F.conv(F.substring(F.md5(F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 12)), 1, 15), 16, 10).cast("long")
+    return duplicates.similar_pairs(read(spark, d, "documents").select(F.col("doc_id").alias("ord"), h.alias("p_hash")))
+
+
+@query(
+    f"""with {_CELLS}, t as (select vec_id, (y // 4) * 2 + x // 4 as tile, sum(v order by i) / 16 as mu, var_pop(v) as var from c group by 1, 2), b as (select c.vec_id, (y // 4) * 2 + x // 4 as tile, bit_or(case when v >= mu then 1::bigint << ((y % 4) * 4 + x % 4)::int else 0::bigint end) as bits
+ from c join t on t.vec_id = c.vec_id and t.tile = (y // 4) * 2 + x // 4 group by 1, 2) select p.vec_id, p.tile as tile_a, q.tile as tile_b, bit_count(xor(p.bits, q.bits))::int as distance, round(least(tp.var, tq.var) / greatest(tp.var, tq.var), 6) as variance_ratio
+ from b p join b q on p.vec_id = q.vec_id and p.tile < q.tile join t tp on tp.vec_id = p.vec_id and tp.tile = p.tile join t tq on tq.vec_id = q.vec_id and tq.tile = q.tile
+ where bit_count(xor(p.bits, q.bits)) <= 5 and least(tp.var, tq.var) / greatest(tp.var, tq.var) > 0.5"""
+)
+def tile_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of one raster that are alike; four tiles of 4 x 4, so at most six pairs of each raster."""
+    p = F.col("p")
+    tiles = [F.array(*[raster.at(p, 8, tx * 4 + x, ty * 4 + y) for y in range(4) for x in range(4)]) for ty in range(2) for tx in range(2)]
+    one = lambda k, t: raster.let(raster.mean(t), lambda m: F.struct(F.lit(k).alias("tile"), raster.hash_bits([F.get(t, F.lit(i)) >= m for i in range(16)]).alias("bits"), F.pow(raster.deviation(t), 2.0).alias("var")))
+    rows = pixels(spark, d).select("vec_id", F.array(*[one(k, t) for k, t in enumerate(tiles)]).alias("t"))
+    pairs = F.array(*[F.struct(F.col("t")[i].alias("a"), F.col("t")[j].alias("b")) for i in range(4) for j in range(i + 1, 4)])
+    met = rows.select("vec_id", F.explode(pairs).alias("p")).select("vec_id", F.col("p.a.tile").cast("long").alias("tile_a"), F.col("p.b.tile").cast("long").alias("tile_b"), F.bit_count(F.col("p.a.bits").bitwiseXOR(F.col("p.b.bits"))).alias("distance"), (F.least("p.a.var", "p.b.var") / F.greatest("p.a.var", "p.b.var")).alias("r"))
+    return met.where("distance <= 5 and r > 0.5").select("vec_id", "tile_a", "tile_b", "distance", F.round("r", 6).alias("variance_ratio"))
+
+
+@query(f"with {_CELLS} select vec_id, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as deviation, round(avg((v <= -0.1)::int), 6) as dark, round(avg((v >= 0.1)::int), 6) as bright from c group by 1")
+def luma_stats(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("p")
+    return pixels(spark, d).select("vec_id", F.round(raster.mean(p), 6).alias("mean"), F.round(raster.deviation(p), 6).alias("deviation"), F.round(raster.fraction(p, lambda v: v <= -0.1), 6).alias("dark"), F.round(raster.fraction(p, lambda v: v >= 0.1), 6).alias("bright"))
+
+
+_STEPS = f"{_CELLS}, s as (select a.vec_id, a.x, a.y, abs(a.v - b.v) as dx from c a join c b on a.vec_id = b.vec_id and a.y = b.y and b.x = a.x - 1)"
+
+
+@query(f"with {_STEPS}, t as (select a.vec_id, avg(abs(a.v - b.v)) as dy from c a join c b on a.vec_id = b.vec_id and a.x = b.x and b.y = a.y - 1 group by 1) select vec_id, round(avg(dx), 6) as edge_x, round(any_value(dy), 6) as edge_y from s join t using (vec_id) group by 1")
+def edge_means(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("p")
+    return pixels(spark, d).select("vec_id", F.round(raster.edge_x(p, 8, 8), 6).alias("edge_x"), F.round(raster.edge_y(p, 8, 8), 6).alias("edge_y"))
+
+
+@query(f"with {_STEPS} select vec_id, round(avg(dx) filter (x % 4 = 0) / avg(dx) filter (x % 4 <> 0), 6) as ratio from s group by 1")
+def block_boundary_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", F.round(raster.boundary_ratio(F.col("p"), 8, 8, 4), 6).alias("ratio"))
+
+
+@query(f"with {_STEPS}, g as (select vec_id, x % 4 as k, avg(dx) as e from s group by 1, 2) select vec_id, round(max(e) / avg(e), 6) as dominance from g group by 1")
+def phase_dominance(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", F.round(raster.phase_dominance(F.col("p"), 8, 8, 4), 6).alias("dominance"))
+
+
+@query(
+    f"""with {_CELLS}, s as (select b.vec_id, b.x, abs(a.v - 2 * b.v + n.v) as d2 from c b join c a on a.vec_id = b.vec_id and a.y = b.y and a.x = b.x - 1 join c n on n.vec_id = b.vec_id and n.y = b.y and n.x = b.x + 1 where b.x % 2 = 1),
+ k as (select vec_id, n, k, coalesce((select avg(d2) from s where s.vec_id = e.vec_id and s.x % n = k), 0) as m from (select vec_id from embeddings) e, range(2, 5) r(n), range(0, 5) q(k) where k < n), v as (select vec_id, n, stddev_pop(m) / avg(m) as cv from k group by 1, 2) select vec_id, round(max(cv), 6) as periodicity from v group by 1"""
+)
+def periodicity(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", F.round(raster.periodicity(F.col("p"), 8, 8, 4), 6).alias("periodicity"))
+
+
+@query(
+    f"""with {_CELLS}, g as (select a.vec_id, a.x, a.y, abs(4 * a.v - sum(b.v)) as hp from c a join c b on a.vec_id = b.vec_id and abs(a.x - b.x) + abs(a.y - b.y) = 1 where a.x between 1 and 6 and a.y between 1 and 6 group by a.vec_id, a.x, a.y, a.v),
+ r as (select vec_id, x // 4 as rx, y // 4 as ry, avg(hp) as m from g group by 1, 2, 3) select vec_id, round(stddev_pop(m) / abs(avg(m)), 6) as variation from r group by 1"""
+)
+def regional_cv(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", F.round(raster.region_variation(F.col("p"), 8, 8, 2), 6).alias("variation"))
+
+
+@query(f"with {_CELLS}, b as (select vec_id, least(15, greatest(0, floor((v + 1) / 2 * 16)))::int as k, count(*) as n from c group by 1, 2) select vec_id, round(max(n) / 4.0, 6)::double as peakiness from b group by 1")
+def histogram_peakiness(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", F.round(raster.peakiness(F.col("p"), 16, -1.0, 1.0), 6).alias("peakiness"))
+
+
+@query(f"with {_CELLS} select a.vec_id, round(avg((abs(a.v - l.v) + abs(a.v - u.v) > 0.25)::int), 6) as density from c a join c l on l.vec_id = a.vec_id and l.y = a.y and l.x = a.x - 1 join c u on u.vec_id = a.vec_id and u.x = a.x and u.y = a.y - 1 group by 1")
+def edge_density(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", F.round(raster.edge_density(F.col("p"), 8, 8, 0.25), 6).alias("density"))
+
+
+_BYTES = f"b as (select doc_id, generate_subscripts({HEX_BYTES}, 1) - 1 as i, ('0x' || unnest({HEX_BYTES}))::int as v from documents)"
+
+
+def numbered_bytes(spark: SparkSession, d: str) -> DataFrame:
+    rows = files(spark, d).select("file_id", F.posexplode(B.byte_pairs(F.col("content"))).alias("i", "b"))
+    return rows.select("file_id", "i", F.conv("b", 16, 10).cast("int").alias("v"))
+
+
+@query(f"with {_BYTES}, o as (select doc_id, k, avg((v >> k::int) & 1) as p from b, range(0, 8) r(k) group by 1, 2) select doc_id as file_id, k as plane, round(case when p <= 0 or p >= 1 then 0 else -p * log2(p) - (1 - p) * log2(1 - p) end, 6) as entropy from o")
+def bit_plane_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """All eight planes in one aggregation per file."""
+    rows = numbered_bytes(spark, d)
+    ones = rows.groupBy("file_id").agg(*[F.avg(F.shiftright("v", k).bitwiseAND(F.lit(1))).alias(f"p{k}") for k in range(8)])
+    planes = F.array(*[F.struct(F.lit(k).cast("long").alias("plane"), F.col(f"p{k}").alias("p")) for k in range(8)])
+    return ones.select("file_id", F.explode(planes).alias("x")).select("file_id", "x.plane", F.round(B.binary_entropy(F.col("x.p")), 6).alias("entropy"))
+
+
+@query(f"with {_BYTES}, l as (select doc_id, v & 1 as bit, lag(v & 1) over (partition by doc_id order by i) as before from b) select doc_id as file_id, round(avg(bit), 6) as one_ratio, round(coalesce(avg((bit <> before)::int), 0), 6) as transition_rate from l group by 1")
+def lsb_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """In array expressions, so that no file is sorted or shuffled."""
+    bits = F.transform(B.byte_pairs(F.col("content")), lambda b: F.conv(b, 16, 10).cast("int").bitwiseAND(F.lit(1)).cast("double"))
+    rows = files(spark, d).where(F.octet_length("content") > 0).select("file_id", bits.alias("l"))
+    changed = F.zip_with(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))), lambda a, b: F.when(a != b, 1.0).otherwise(0.0))
+    return rows.select("file_id", F.round(raster.mean(F.col("l")), 6).alias("one_ratio"), F.round(raster.mean(changed), 6).alias("transition_rate"))
+
+
+_PAIRS = "select a.vec_id, a.vec_id as vec_a, b.vec_id as vec_b, a.embedding as ea, b.embedding as eb from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"
+
+
+@query(f"with p as ({_PAIRS}), x as (select vec_a, vec_b, unnest(ea)::double - unnest(eb)::double as d from p) select vec_a, vec_b, round(avg(abs(d)), 6) as mae, round(sqrt(avg(d * d)), 6) as rmse, round(20 * log10(1 / sqrt(avg(d * d))), 5) as psnr from x group by 1, 2")
+def pair_mae_rmse_psnr(spark: SparkSession, d: str) -> DataFrame:
+    p = pixels(spark, d)
+    pairs = p.select(F.col("vec_id").alias("vec_a"), (F.col("vec_id") + 1).alias("vec_b"), F.col("p").alias("a")).join(p.select(F.col("vec_id").alias("vec_b"), F.col("p").alias("b")), "vec_b")
+    mae, rmse = raster.pair_error(F.col("a"), F.col("b"))
+    psnr = F.when(rmse > 1e-7, 20 * F.log10(1 / rmse))
+    return pairs.select("vec_a", "vec_b", F.round(mae, 6).alias("mae"), F.round(rmse, 6).alias("rmse"), F.round(psnr, 5).alias("psnr"))
+
+
+@query("select vec_id, list_sort(embedding)[33]::double as upper_median from embeddings")
+def upper_median(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("vec_id", raster.upper_median(F.col("p")).alias("upper_median"))
+
+
+@query(f"with {_CELLS} select vec_id, u, v0 as v, round(sum(v * cos((2 * x + 1) * u * pi() / 16) * cos((2 * y + 1) * v0 * pi() / 16)), 5) as coefficient from c, range(0, 4) r(u), range(0, 4) s(v0) group by 1, 2, 3")
+def dct_lowband(spark: SparkSession, d: str) -> DataFrame:
+    rows = pixels(spark, d).select("vec_id", F.posexplode(raster.dct_low(F.col("p"), 8, 8, 4)).alias("k", "c"))
+    return rows.select("vec_id", (F.col("k") % 4).cast("long").alias("u"), F.floor(F.col("k") / 4).cast("long").alias("v"), F.round("c", 5).alias("coefficient"))
+
+
+_ATTRS = r"select page_id as file_id, unnest(regexp_extract_all(html, '[a-z]+=\"[^\"]*\"')) as a, generate_subscripts(regexp_extract_all(html, '[a-z]+=\"[^\"]*\"'), 1) - 1 as ord from pages"
+
+
+@query(rf"with t as ({_ATTRS}) select file_id, ord::int as ord, 'HTML' as directory, split_part(a, '=', 1) as tag, regexp_extract(a, '\"(.*)\"', 1) as raw from t")
+def metadata_fields(spark: SparkSession, d: str) -> DataFrame:
+    return page_fields(spark, d).select("file_id", "ord", "directory", "tag", "raw")
+
+
+def page_fields(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.posexplode(F.regexp_extract_all("html", F.lit('[a-z]+="[^"]*"'), F.lit(0))).alias("ord", "a"))
+    return rows.select("file_id", "ord", F.lit("HTML").alias("directory"), F.substring_index("a", "=", 1).alias("tag"), F.regexp_extract("a", '"(.*)"', 1).alias("raw"), F.lit(None).cast("string").alias("parsed"))
+
+
+# Fields of made-up files from events: one file for each user, tags by event type.
+_TAGS = {"view": "Make", "click": "Model", "error": "Software", "purchase": "Body Serial Number", "signup": "Lens Model"}
+_EVENT_FIELDS = f"""f as (select user_id as file_id, (row_number() over (partition by user_id order by event_id) - 1)::int as ord, case when event_id % 7 = 0 then 'GPS' when event_id % 11 = 0 then 'XMP' when event_id % 13 = 0 then 'ICC Profile' else 'Exif IFD0' end as directory,
+ case event_type {' '.join(f"when '{k}' then '{v}'" for k, v in _TAGS.items())} end as tag, 'Value ' || (event_id % 3) as raw, case when event_id % 5 = 0 then null when event_id % 5 = 1 then ' ' else 'VALUE ' || (event_id % 3) end as parsed, ts from events)"""
+
+
+def event_fields(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    n = F.col("event_id")
+    directory = F.when(n % 7 == 0, "GPS").when(n % 11 == 0, "XMP").when(n % 13 == 0, "ICC Profile").otherwise("Exif IFD0")
+    tag = F.element_at(F.create_map(*[F.lit(x) for p in _TAGS.items() for x in p]), F.col("event_type"))
+    third = (n % 3).cast("string")
+    rows = e.select(F.col("user_id").alias("file_id"), n.alias("event_id"), directory.alias("directory"), tag.alias("tag"), F.concat(F.lit("Value "), third).alias("raw"), F.when(n % 5 == 0, None).when(n % 5 == 1, " ").otherwise(F.concat(F.lit("VALUE "), third)).alias("parsed"), "ts")
+    return metadata.numbered(rows, ["file_id"], ["event_id"]).drop("event_id")
+
+
+_HALVES = f"""with {_EVENT_FIELDS}, k as (select file_id, directory, tag, arg_min(coalesce(parsed, raw), ord) filter (ts < timestamp '2024-01-15') as l, arg_min(coalesce(parsed, raw), ord) filter (ts >= timestamp '2024-01-15') as r from f group by 1, 2, 3)"""
+
+
+def halves(spark: SparkSession, d: str) -> DataFrame:
+    f = event_fields(spark, d)
+    cut = F.lit("2024-01-15").cast("timestamp")
+    return metadata.difference(f.where(F.col("ts") < cut), f.where(F.col("ts") >= cut), ["file_id"])
+
+
+@query(_HALVES + " select file_id, directory, tag, l as left_value, r as right_value from k where l is distinct from r")
+def metadata_diff(spark: SparkSession, d: str) -> DataFrame:
+    return halves(spark, d)
+
+
+@query(_HALVES + " select file_id, directory, tag, l as left_value, r as right_value from k where l is distinct from r and upper(directory) like '%ICC%'")
+def icc_diff(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.icc_difference(halves(spark, d))
+
+
+_MEANING = " ".join(f"when '{t.lower()}' then '{metadata.MEANINGS[t]}'" for t in _TAGS.values())
+
+
+@query(f"with {_EVENT_FIELDS} select file_id, ord, tag, case lower(tag) {_MEANING} else '{metadata.NO_MEANING}' end as meaning from f")
+def meaning_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.with_meaning(event_fields(spark, d)).select("file_id", "ord", "tag", "meaning")
+
+
+_FILLED = "case when trim(parsed) <> '' then parsed else raw end"
+
+
+@query(f"with {_EVENT_FIELDS}, v as (select file_id, tag, lower({_FILLED}) as low, min(ord) as o, arg_min({_FILLED}, ord) as v from f where directory <> 'GPS' group by 1, 2, 3) select file_id, tag, count(*)::int as n, string_agg(v, ' | ' order by o) as shown from v group by 1, 2 having count(*) > 1")
+def conflicting_values(spark: SparkSession, d: str) -> DataFrame:
+    values = metadata.distinct_values(event_fields(spark, d), F.col("directory") != "GPS", ["file_id", "tag"])
+    return values.where(F.size("values") > 1).select("file_id", "tag", F.size("values").alias("n"), F.array_join("values", " | ").alias("shown"))
+
+
+@query(f"with {_EVENT_FIELDS} select file_id, directory, tag, min({_FILLED}) as shown from f where trim({_FILLED}) <> '' group by 1, 2, 3 having count(distinct lower({_FILLED})) = 1")
+def single_value_present(spark: SparkSession, d: str) -> DataFrame:
+    f = event_fields(spark, d)
+    values = metadata.distinct_values(f, F.lit(True), ["file_id", "directory", "tag"])
+    spelled = f.select("file_id", "directory", "tag", metadata.filled(F.col("parsed"), F.col("raw")).alias("v")).groupBy("file_id", "directory", "tag").agg(F.min("v").alias("shown"))
+    return values.where(F.size("values") == 1).join(spelled, ["file_id", "directory", "tag"]).select("file_id", "directory", "tag", "shown")
+
+
+@query(
+    """select o_orderkey as file_id, count(*) as lines, count(*) filter (l_shipdate < o_orderdate) as before_original, min(l_shipdate) < min(o_orderdate) as first_before from lineitem join orders on l_orderkey = o_orderkey group by 1"""
+)
+def time_order_rules(spark: SparkSession, d: str) -> DataFrame:
+    both = read(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(read(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.groupBy(F.col("o_orderkey").alias("file_id")).agg(F.count("*").alias("lines"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("before_original"), (F.min("l_shipdate") < F.min("o_orderdate")).alias("first_before"))
+
+
+_RULES = """with t as (select p_partkey as file_id, p_size as width, (p_partkey % 40 + 1)::int as height, case when p_partkey % 3 = 0 then p_size + 1 else p_size end as ew, (p_partkey % 40 + 1)::int as eh from part)"""
+
+
+@query(
+    _RULES
+    + """ select file_id, 'metadata.dimension_mismatch' as code, 2 as confidence from t where ew > 0 and eh > 0 and (ew <> width or eh <> height) union all select file_id, 'image.extreme_small_dimension', 3 from t where width <= 2 or height <= 2
+ union all select file_id, 'image.extreme_aspect_ratio', 3 from t where width / height > 20 or width / height < 0.05"""
+)
+def dimension_rules(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.col("p_size").alias("width"), (F.col("p_partkey") % 40 + 1).cast("int").alias("height"))
+    exif = F.when(F.col("file_id") % 3 == 0, F.col("width") + 1).otherwise(F.col("width"))
+    none = F.lit(None).cast("string")
+    fields = part.select("file_id", F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.lit("Exif Image Width").alias("tag"), F.concat(exif.cast("string"), F.lit(" pixels")).alias("raw")), F.struct(F.lit(1).alias("ord"), F.lit("Exif Image Height").alias("tag"), F.col("height").cast("string").alias("raw")))).alias("f")).select("file_id", "f.*", F.lit("Exif SubIFD").alias("directory"), none.alias("parsed"))
+    ident = part.select("file_id", F.lit(False).alias("extension_mismatch"), F.lit("JPEG").alias("detected_type"), F.lit(".jpg").alias("extension"))
+    cont = part.select("file_id", F.lit(0).cast("long").alias("trailing_bytes"), F.array().cast("array<string>").alias("warnings"))
+    return rules.consistency(ident, part.withColumn("orientation", none), fields, cont).select("file_id", "code", "confidence")
+
+
+_RISKS = f"""{_EVENT_FIELDS}, r as (select file_id, 'privacy.gps' as code from f where directory = 'GPS' union all select file_id, 'privacy.device_model' from f where tag in ('Make', 'Model') union all select file_id, 'privacy.serial' from f where tag like '%Serial%'
+ union all select file_id, 'privacy.software' from f where tag = 'Software' union all select file_id, 'privacy.xmp' from f where directory = 'XMP'), n as (select file_id, code, count(*) as fields from r group by 1, 2)"""
+
+
+def risks(spark: SparkSession, d: str) -> DataFrame:
+    return rules.privacy_risks(event_fields(spark, d))
+
+
+@query(f"with {_RISKS} select file_id, code, fields from n")
+def privacy_risks(spark: SparkSession, d: str) -> DataFrame:
+    return risks(spark, d).select("file_id", "code", "fields")
+
+
+@query(f"with {_RISKS} select file_id, count(*)::int as privacy_risk_count, true as has_sensitive_data from n group by 1")
+def privacy_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rules.privacy_summary(risks(spark, d)).select("file_id", "privacy_risk_count", "has_sensitive_data")
+
+
+@query(f"with {_RISKS} select file_id, code from n where code in ('privacy.gps', 'privacy.serial')")
+def semi_sensitive(spark: SparkSession, d: str) -> DataFrame:
+    return rules.sensitive(risks(spark, d), ("privacy.gps", "privacy.serial")).select("file_id", "code")
+
+
+@query(f"with {_RISKS} select file_id, string_agg(code, ', ' order by code) as codes from n group by 1")
+def sorted_codes(spark: SparkSession, d: str) -> DataFrame:
+    return rules.privacy_summary(risks(spark, d)).select("file_id", F.array_join("codes", ", ").alias("codes"))
+
+
+@query(
+    f"with {_RISKS} select file_id, 0 as stage, code from n union all select file_id, 1, 'metadata.' || lower(split_part(tag, ' ', 1)) from (select file_id, tag, count(distinct lower({_FILLED})) as k from f where tag in ('Make', 'Model') group by 1, 2) where k > 1"
+)
+def indicators_union(spark: SparkSession, d: str) -> DataFrame:
+    f = event_fields(spark, d)
+    conflicts = metadata.distinct_values(f, F.col("tag").isin("Make", "Model"), ["file_id", "tag"]).where(F.size("values") > 1)
+    return risks(spark, d).select("file_id", F.lit(0).alias("stage"), "code").unionByName(conflicts.select("file_id", F.lit(1).alias("stage"), F.concat(F.lit("metadata."), F.lower(F.substring_index("tag", " ", 1))).alias("code")))
+
+
+_TEXTS = "t as (select 'documents' as source, doc_id as file_id, text from documents union all select 'conversations', conv_id * 1000 + turn, text from conversations)"
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("file_id"), "text")
+    return docs.unionByName(read(spark, d, "conversations").select(F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("file_id"), "text"))
+
+
+@query(rf"with {_TEXTS} select distinct file_id, source, lower(unnest(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b'))) as value from t")
+def text_entities_email(spark: SparkSession, d: str) -> DataFrame:
+    found = entities.text_entities(texts(spark, d)).where("kind = 'Email'")
+    return found.select("file_id", "source", F.lower("value").alias("value"))
+
+
+@query()
+def text_entities(spark: SparkSession, d: str) -> DataFrame:
+    return entities.text_entities(texts(spark, d))
+
+
+@query("select 'URL' as kind, page_id as file_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || case when regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1) like '/%' then '' else '/' end || regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1) as value from pages")
+def entity_urls(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "pages").select(F.col("page_id").alias("file_id"), F.concat(F.lit("see "), "url", F.lit(" .")).alias("text"), F.lit("pages").alias("source"))
+    return entities.text_entities(rows).where("kind = 'URL'").select("kind", "file_id", "value")
+
+
+@query(r"select doc_id as file_id, count(*) as runs, max(least(length(r), 160))::int as longest, sum(least(length(r), 160))::bigint as stored from (select doc_id, unnest(regexp_extract_all(text, '[\x20-\x7E]{20,}')) as r from documents) group by 1")
+def printable_runs(spark: SparkSession, d: str) -> DataFrame:
+    runs = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.explode(F.regexp_extract_all("text", F.lit(r"[\x20-\x7E]{20,}"), F.lit(0))).alias("r"))
+    kept = runs.select("file_id", F.left("r", F.lit(160)).alias("r"))
+    return kept.groupBy("file_id").agg(F.count("*").alias("runs"), F.max(F.length("r")).alias("longest"), F.sum(F.length("r").cast("long")).alias("stored"))
+
+
+_SIGNATURES = {"Windows PE/MZ": "MZ", "PDF document": "%PDF-", "GIF image": "GIF8", "WebP RIFF": "RIFF", "ZIP archive": "PK\x03\x04"}
+_SIGNATURES = {k: v for k, v in _SIGNATURES.items() if v.isprintable()}
+
+
+@query(" union all ".join(f"select doc_id as file_id, '{k}' as kind, (length(text) - length(replace(text, '{v}', ''))) // {len(v)} as hits from documents where contains(text[2:], '{v}') and not starts_with(text, '{v}')" for k, v in {**_SIGNATURES, "marker": "th"}.items()))
+def signature_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures inside the content, those at its very start left out."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    each = F.filter(F.array(*[F.when(F.contains("text", F.lit(v)) & ~F.startswith("text", F.lit(v)), F.struct(F.lit(k).alias("kind"), F.floor((F.length("text") - F.length(F.replace("text", F.lit(v), F.lit("")))) / len(v)).alias("hits"))) for k, v in {**_SIGNATURES, "marker": "th"}.items()]), lambda x: x.isNotNull())
+    return rows.select("file_id", F.explode(each).alias("x")).select("file_id", "x.kind", "x.hits")
+
+
+_BATCH = f"""with {_TEXT_HASH}, e as (select doc_id, len(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}\\b'))::int as n from documents), g as (select d.doc_id, 'doc_' || d.doc_id || '.txt' as file_name, sha256(text) as sha256, octet_length(encode(text)) as size_bytes,
+ source in ('src1', 'src2') as has_gps, e.n as privacy_risk_count, h.h as p_hash, case when length(text) < 300 then 'too short' end as error from documents d join e using (doc_id) join h using (doc_id)),
+ x as (select *, case when error is null then nullif(first_value(file_name) over (partition by error is null, sha256 order by doc_id), file_name) end as duplicate_of from g),
+ p as (select b.doc_id, a.file_name as other, row_number() over (partition by b.doc_id order by bit_count(xor(a.p_hash, b.p_hash)), a.doc_id) as rn from x a join x b on a.doc_id < b.doc_id and a.error is null and b.error is null and b.duplicate_of is null and bit_count(xor(a.p_hash, b.p_hash)) <= 3),
+ r as (select x.doc_id as ord, file_name, sha256, size_bytes, has_gps, privacy_risk_count, p_hash, error, duplicate_of, p.other as near_duplicate_of from x left join p on p.doc_id = x.doc_id and rn = 1)"""
+_BATCH_COLUMNS = "ord, file_name, sha256, size_bytes, has_gps, privacy_risk_count, p_hash, error, duplicate_of, near_duplicate_of"
+
+
+def batch_table(spark: SparkSession, d: str) -> DataFrame:
+    h = F.conv(F.substring(F.md5(F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 12)), 1, 15), 16, 10).cast("long")
+    emails = F.size(F.filter(entities.found_in(F.col("text")), lambda e: e["kind"] == "Email"))
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("file_name"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("source").isin("src1", "src2").alias("has_gps"), emails.alias("privacy_risk_count"), h.alias("p_hash"), F.when(F.length("text") < 300, "too short").alias("error"))
+    return batch.batch_rows(rows)
+
+
+@query(_BATCH + f" select {_BATCH_COLUMNS} from r")
+def batch_rows(spark: SparkSession, d: str) -> DataFrame:
+    return batch_table(spark, d)
+
+
+for _name, _sql in {"gps": "has_gps", "privacy": "privacy_risk_count > 0", "exact": "duplicate_of is not null", "near": "near_duplicate_of is not null", "error": "error is not null"}.items():
+
+    def _view(spark: SparkSession, d: str, name: str = {"error": "errors"}.get(_name, _name)) -> DataFrame:
+        return batch.view(batch_table(spark, d), name).select("ord", "file_name")
+
+    QUERIES[f"batch_filter_{_name}"] = _view
+    ORACLES[f"batch_filter_{_name}"] = _BATCH + f" select ord, file_name from r where {_sql}"
+
+
+@query(_BATCH + """ select ord, '"' || file_name || '","' || sha256 || '",' || size_bytes || ',' || case when has_gps then 'True' else 'False' end || ',' || privacy_risk_count || ',"' || p_hash || '","' || coalesce(duplicate_of, '') || '","' || coalesce(near_duplicate_of, '') || '","' || coalesce(error, '') || '"' as line from r""")
+def batch_csv_line(spark: SparkSession, d: str) -> DataFrame:
+    rows = batch_table(spark, d)
+    return rows.select("ord", batch.csv_line(rows).alias("line"))
+
+
+@query()
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    return batch.to_json(batch_table(spark, d))
+
+
+@query(f"with {_EVENT_FIELDS} select file_id, ord, directory, tag, raw from f where lower(directory || '~' || tag || '~' || raw || '~' || coalesce(parsed, '')) like '%serial%'")
+def metadata_search(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.search(event_fields(spark, d), "SERIAL", None).select("file_id", "ord", "directory", "tag", "raw")
+
+
+@query(f"with {_EVENT_FIELDS} select file_id, min(ord) as ord, arg_min(directory, ord) as directory, arg_min(raw, ord) as raw from f where lower(tag) like '%lens%' group by 1")
+def first_match(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.first_match(event_fields(spark, d).drop("ts"), "lens").select("file_id", "ord", "directory", "raw")
+
+
+@query("select event_id, user_id, event_type from events order by ts desc, event_id limit 200")
+def history_recent(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.latest(read(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), "ts", 500).select("event_id", "user_id", "event_type")
+
+
+@query("select event_id, regexp_replace(event_type || ' #' || event_id || '/x', '[^A-Za-z0-9._-]', '', 'g') as event, case when event_id % 4 = 0 then null else (event_id % 100)::varchar end as k, user_id::varchar as user from events")
+def log_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    key = F.when(n % 4 == 0, F.lit("gpsValue")).otherwise(F.lit("k"))
+    data = F.map_from_arrays(F.array(key, F.lit("user"), F.lit("FilePath")), F.array((n % 100).cast("string"), F.col("user_id").cast("string"), F.lit("/x")))
+    rows = logs.sanitize(read(spark, d, "events").select("event_id", F.concat("event_type", F.lit(" #"), "event_id", F.lit("/x")).alias("event"), data.alias("data")))
+    return rows.select("event_id", "event", F.try_element_at("data", F.lit("k")).alias("k"), F.try_element_at("data", F.lit("user")).alias("user"))
+
+
+@query("select doc_id as file_id, 'https://www.virustotal.com/gui/search/' || sha256(text) as url from documents")
+def hash_lookup_url(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).select("file_id", B.lookup_url(F.sha2("content", 256)).alias("url"))
+
+
+@query("select case when p_size % 2 = 0 then 'even' else 'odd' end as kind, count(*) as n, sum(s.n)::bigint as lines from part p join (select l_partkey, count(*) as n from lineitem group by 1) s on s.l_partkey = p.p_partkey group by 1")
+def count_rollup(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    counted = batch.with_counts(part, "p_partkey", lines=read(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))).where("lines > 0")
+    return counted.groupBy("kind").agg(F.count("*").alias("n"), F.sum("lines").alias("lines"))
