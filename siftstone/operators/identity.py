@@ -36,7 +36,8 @@ def identity(files: DataFrame, entropy: bool = True, max_bytes: int = MAX_BYTES)
     error = F.when(n == 0, "The file is empty.").when(n > max_bytes, "The file is larger than the limit.")
     good = error.isNull()
     declared = F.trim(F.lower(F.col("declared_mime"))) if "declared_mime" in files.columns else F.lit(None).cast("string")
-    rows = files.select("*", n.alias("size_bytes"), error.alias("error"), F.when(good, B.detect_type(F.col("content"))).alias("detected_type"), B.extension_of(F.col("name")).alias("extension"))
+    given = [c for c in ("file_id", "name", "content", "declared_mime") if c in files.columns]
+    rows = files.select(*given, n.alias("size_bytes"), error.alias("error"), F.when(good, B.detect_type(F.col("content"))).alias("detected_type"), B.extension_of(F.col("name")).alias("extension"))
     only = lambda c: F.when(F.col("error").isNull(), c)
     kind, content = F.col("detected_type"), F.col("content")
     out = rows.select(

@@ -143,7 +143,7 @@ def consistency(identity: DataFrame, technical: DataFrame, fields: DataFrame, co
     )
     row = identity.select(key, "extension_mismatch", "detected_type", "extension").join(technical.select(key, "width", "height", "orientation"), key, "left").join(containers.select(key, "trailing_bytes", "warnings"), key, "left").join(facts, key, "left")
     c = F.col
-    ratio = c("width") / c("height")
+    ratio = F.when(c("height") > 0, c("width") / c("height"))
     time = metadata_time
     stored, decoded = normal_orientation(c("stored")), normal_orientation(c("orientation"))
     values = lambda n: F.array_join(F.array_sort(c(n)), " | ")
