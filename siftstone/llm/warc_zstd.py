@@ -266,7 +266,7 @@ def save(archives: DataFrame, folder: str) -> None:
         store.create_dir(base)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with store.open_output_stream(f"{base}/{name}") as f:
+                with store.open_output_stream(f"{base}/{name}", compression=None) as f:
                     f.write(content)
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
 
