@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 DOCS_PER_LABEL, WORDS_PER_DOC = 2500, 2000
 EPOCHS, BATCH, RATE, GAIN, PADDING, DECAY = 5, 64, 0.3, 8.0, 30, 1e-3
@@ -136,14 +138,17 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int = DOCS_PER_LABEL) -> tuple[list[str], list[int]]:
     """Texts and labels of about ``per_label`` documents of each label. Ids are chosen among the labels first, so only
-    the chosen ids, whose number is bounded, meet the documents."""
+    the chosen ids meet the documents. Their number is bounded in expectation; they are broadcast if it is so in fact, and
+    joined by shuffle otherwise."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return [], []
     place = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000.0
     share = F.when(F.col("label") == 1, per_label / sizes[1]).otherwise(per_label / sizes[0])
-    chosen = known.where(place < share)
+    chosen = cut(known.where(place < share))
+    if chosen.count() <= 4 * per_label:
+        chosen = F.broadcast(chosen)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("key", "text", "label").collect()
     rows.sort(key=lambda r: (r["key"], r["text"] or ""))
     return [r["text"] or "" for r in rows], [r["label"] for r in rows]
