@@ -35,6 +35,8 @@ from .common import cut
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 DOCS_PER_LABEL, WORDS_PER_DOC = 2500, 2000
 EPOCHS, BATCH, RATE, GAIN, PADDING, DECAY = 5, 64, 0.3, 8.0, 30, 1e-3
+#: Features of fewer training documents than this stay zero.
+LEAST_DOCS = 3
 #: Longer runs of letters are cut for features only.
 WORD_CHARS = 64
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,8 +99,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     starts = np.concatenate(([0], np.cumsum(sizes)))
     flat = np.fromiter((x for r in rows for x in r), np.int64, int(starts[-1]))
+    spread = np.zeros(BUCKETS, np.int64)
+    for ids in bags:
+        spread[np.unique(np.concatenate([np.zeros(0, np.int64), *[flat[starts[i] : starts[i + 1]] for i in ids]]))] += 1
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
+    table[spread < LEAST_DOCS] = 0
     layer, bias = rng.uniform(-0.5, 0.5, (DIM, 2)), np.zeros(2)
     seen_table, seen_layer, seen_bias = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
     y = np.asarray(labels)
@@ -117,6 +123,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             ends = np.cumsum(n)
             place = np.arange(ends[-1]) + np.repeat(starts[own] - (ends - n), n)
             used, slot = np.unique(flat[place], return_inverse=True)
+            common = (spread[used] >= LEAST_DOCS)[:, None]
             vectors = np.add.reduceat(table[used][slot], ends - n, axis=0) / n[:, None]
             mean = per_row(doc, vectors[inverse] * share[:, None], len(batch))
             logits = GAIN * mean @ layer + bias
@@ -126,7 +133,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             p *= balance[y[batch]][:, None] / len(batch)
             to_layer, to_bias, to_mean = GAIN * mean.T @ p, p.sum(axis=0), GAIN * p @ layer.T
             to_vectors = per_row(inverse, to_mean[doc] * share[:, None], len(own)) / n[:, None]
-            to_table = per_row(slot, np.repeat(to_vectors, n, axis=0), len(used))
+            to_table = per_row(slot, np.repeat(to_vectors, n, axis=0), len(used)) * common
             seen_table[used] += (to_table**2).mean(axis=1)
             table[used] -= RATE * (to_table / np.sqrt(seen_table[used])[:, None] + DECAY * table[used])
             seen_layer += to_layer**2
