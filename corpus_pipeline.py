@@ -21,9 +21,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.functions.shipping import ship
 from siftstone.llm import bestfit_pack, lang_rank, line_quality, pii_surrogate, simhash_dedup
-from siftstone.llm.common import checkpoint_dir, table
+from siftstone.llm.common import checkpoint_dir, ready, table
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -37,19 +36,19 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     found = lang_rank.predict(docs, lang_rank.learn(docs, "text", "lang", "doc_id"))
     kept = found.where(F.col("lang_pred") != "und").withColumn("lang", F.coalesce("lang", "lang_pred"))
     return kept.select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return _like(docs, line_quality.clean(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return simhash_dedup.keep_first(docs).select(docs.columns)
 
 
@@ -58,7 +57,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return bestfit_pack.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

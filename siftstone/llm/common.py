@@ -13,9 +13,22 @@ from ..functions.shipping import ship
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of an Arrow batch, where the session has not set another number: rows are whole texts here, and both the executor and
+#: its Python worker hold a batch outside the heap.
+BATCH_ROWS, SPARKS_OWN = "1000", "10000"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The package on the executors, and small batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == SPARKS_OWN:
+        spark.conf.set(key, BATCH_ROWS)
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``; read by Spark, so that any store will do."""
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
