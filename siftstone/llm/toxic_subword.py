@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from math import exp
 
@@ -95,10 +96,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         bag = list(dict.fromkeys(words(t)))
         chosen = bag[:: max(1, -(-len(bag) // WORDS_PER_DOC))]
         bags.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in chosen), np.int64, len(chosen)))
-    rows = [features(w) for w in vocabulary]
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    flat = np.fromiter((x for r in rows for x in r), np.int64, int(starts[-1]))
+    held, ends_at = array("i"), array("q", [0])
+    for w in vocabulary:
+        held.extend(features(w))
+        ends_at.append(len(held))
+    flat, starts = np.frombuffer(held, np.int32), np.frombuffer(ends_at, np.int64)
+    sizes = np.diff(starts)
     spread = np.zeros(BUCKETS, np.int64)
     for ids in bags:
         spread[np.unique(np.concatenate([np.zeros(0, np.int64), *[flat[starts[i] : starts[i + 1]] for i in ids]]))] += 1
