@@ -82,3 +82,32 @@ def ocr(files: DataFrame, engine=None) -> DataFrame:
     if engine is not None:
         return engine(files.select("file_id", "content"))
     return files.select("file_id", F.lit("").alias("text"), F.lit(0.0).cast("float").alias("confidence"), F.lit(False).alias("succeeded"), F.lit("No OCR engine is set.").alias("error"))
+
+
+#: What each section of a report shows, from the tables of a deep scan.
+SECTIONS = {
+    "Overview": lambda t: t["report"].select("file_id", "name", "size_bytes", "detected_type", "sha256", "technical.width", "technical.height", "indicator_count", "privacy_risk_count"),
+    "Metadata": lambda t: t["fields"].select("file_id", "ord", "directory", "tag", "raw", "parsed"),
+    "GPS": lambda t: t["report"].where("metadata.gps is not null").select("file_id", "metadata.gps.*"),
+    "Structure": lambda t: t["segments"].select("file_id", "ord", "offset", "length", "type", "description", "suspicious"),
+    "Forensics": lambda t: t["indicators"].select("file_id", "stage", "ord", "code", "confidence"),
+    "OCR": lambda t: t["entities"].select("file_id", "ord", "kind", "value", "source") if "entities" in t else t["report"].select("file_id").limit(0),
+    "Privacy": lambda t: t["risks"].select("file_id", "code", "title", "fields", "examples", "confidence"),
+    "Raw": lambda t: t["report"],
+}
+
+
+def section(tables: dict[str, DataFrame], name: str, most: int | None = 500) -> DataFrame:
+    """One of the sections of a scan as a view of at most ``most`` rows; None lifts the limit."""
+    view = SECTIONS[name](tables)
+    return view if most is None else view.limit(most)
+
+
+def scan_key(mode: str, mime: str | None = None):
+    """What a scan depends on, for rows with file_id, size_bytes and modified."""
+    return F.concat_ws("|", F.lit(mode), "file_id", F.col("size_bytes").cast("string"), F.col("modified").cast("string"), F.lit(mime or ""))
+
+
+def unseen(files: DataFrame, done: DataFrame, mode: str = "deep") -> DataFrame:
+    """``files`` (with size_bytes and modified) whose key is not among the keys ``done`` (key): what an incremental run has left to do."""
+    return files.withColumn("__key", scan_key(mode)).join(done.select(F.col("key").alias("__key")), "__key", "left_anti").drop("__key")

@@ -519,3 +519,11 @@ def count_rollup(spark: SparkSession, d: str) -> DataFrame:
     part = read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("kind"))
     counted = batch.with_counts(part, "p_partkey", lines=read(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))).where("lines > 0")
     return counted.groupBy("kind").agg(F.count("*").alias("n"), F.sum("lines").alias("lines"))
+
+
+@query()
+def algorithms(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import reports
+
+    ident = identity.identity(files(spark, d))
+    return ident.select("file_id", F.array_join(reports.algorithms(ident), ", ").alias("algorithms"))

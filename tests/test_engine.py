@@ -55,6 +55,8 @@ def test_deep_and_batch_scan(spark, folder):
     made = reports.to_pdf(reports.to_text(tables)).first()["pdf"]
     assert bytes(made).startswith(b"%PDF") and b"%%EOF" in bytes(made)[-8:]
     assert scan.quick_scan(files).where("name = 'a.png'").first()["technical"]["width"] == 160
+    assert {n: scan.section(tables, n).count() > 0 for n in scan.SECTIONS} == {n: n != "OCR" for n in scan.SECTIONS}
+    assert scan.section(tables, "Structure", 3).count() == 3
     assert scan.barcodes(files).count() == 0 and not scan.ocr(files).first()["succeeded"]
 
 
@@ -199,6 +201,13 @@ def test_inbox(spark, folder, tmp_path):
     assert got.count() == got.select("sha256").distinct().count() == 7
 
 
+def test_incremental(spark):
+    files = spark.createDataFrame([("a", 1, "2024"), ("b", 2, "2024")], "file_id string, size_bytes long, modified string")
+    done = files.where("file_id = 'a'").select(scan.scan_key("deep").alias("key"))
+    assert [r["file_id"] for r in scan.unseen(files, done).collect()] == ["b"]
+    assert scan.unseen(files, done, "quick").count() == 2
+
+
 def test_queries_and_oracles_have_the_same_names():
     import __spark_entry__ as e
 
