@@ -3,7 +3,7 @@
 Detected kinds: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment card numbers, US social security
 numbers, IBANs, access keys, values of passwords and tokens, and names of persons (after a title, or a common given name
 before a surname). A surrogate is of the same kind and format: separators, grouping, letter case, lengths, country
-codes, top-level domains, card brands and check digits (Luhn, mod 97) hold. Given names get given names of the same
+codes, top-level domains, card brands and check digits (Luhn, mod 97) hold; IPv6 surrogates are written in full. Given names get given names of the same
 gender and script, surnames get surnames of the same script.
 
 A surrogate depends on a secret key and the normalised entity alone, so every mention of an entity gets the same
@@ -48,13 +48,29 @@ SYLLABLES = {
 _NAMES = sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n))
 _CAPITAL = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_DOTTED = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+
+
+def _ipv6() -> str:
+    """Full and compressed addresses, both also with their last two groups as IPv4; not the bare '::'."""
+    forms = [rf"(?:{_GROUP}:){{6}}{_DOTTED}", rf"(?:{_GROUP}:){{7}}{_GROUP}"]
+    for n in range(8):
+        left = rf"{_GROUP}(?::{_GROUP}){{{n - 1}}}" if n else ""
+        if n < 6:
+            forms.append(rf"{left}::(?:{_GROUP}:){{0,{5 - n}}}{_DOTTED}")
+        right = rf"{_GROUP}(?::{_GROUP}){{0,{6 - n}}}" if n < 7 else ""
+        forms.append(rf"{left}::(?:{right})?" if n else f"::{right}")
+    return rf"(?<![0-9A-Za-z:])(?={_GROUP}:|::)(?:{'|'.join(forms)})(?![0-9A-Za-z:]|\.[0-9])"
+
+
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
     "secret": r"(?<![A-Za-z])(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{8,128}",
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
-    "ipv4": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
+    "ipv6": _ipv6(),
+    "ipv4": rf"(?<![0-9A-Za-z.]){_DOTTED}(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -89,10 +105,20 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+def _eight_groups(c: Column) -> Column:
+    """An IPv6 address as eight groups of four digits."""
+    octet = lambda i: F.lower(F.lpad(F.conv(F.regexp_extract(c, r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)$", i), 10, 16), 2, "0"))
+    plain = F.when(F.contains(c, F.lit(".")), F.concat(F.regexp_replace(c, r"[0-9.]+$", ""), octet(1), octet(2), F.lit(":"), octet(3), octet(4))).otherwise(c)
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    halves = lambda p: F.struct(groups(F.substring_index(p, "::", 1)).alias("l"), F.when(F.contains(p, F.lit("::")), groups(F.substring_index(p, "::", -1))).otherwise(F.array().cast("array<string>")).alias("r"))
+    joined = lambda h: F.concat(h["l"], F.array_repeat(F.lit("0"), 8 - F.size(h["l"]) - F.size(h["r"])), h["r"])
+    return F.array_join(F.transform(_let(_let(plain, halves), joined), lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def norms(kind: Column, match: Column) -> Column:
     """The entities of a match, normalised: names give one for each token, all else one."""
     one = F.when(kind == "email", F.lower(match)).when(kind == "phone", F.right(_digits(match), F.lit(10))).when(kind.isin("card", "ssn"), _digits(match))
-    one = one.when(kind == "iban", F.replace(match, F.lit(" "), F.lit(""))).when(kind == "ipv6", F.lower(match)).when(kind == "secret", F.regexp_replace(match, _SECRET_HEAD, "")).otherwise(match)
+    one = one.when(kind == "iban", F.replace(match, F.lit(" "), F.lit(""))).when(kind == "ipv6", _let(F.lower(match), _eight_groups)).when(kind == "secret", F.regexp_replace(match, _SECRET_HEAD, "")).otherwise(match)
     return F.when(kind == "person", F.transform(F.split(F.regexp_replace(match, _TITLE_HEAD, ""), " "), F.lower)).otherwise(F.array(one))
 
 
@@ -236,8 +262,12 @@ def replacement(key: str, match: Column, attempt) -> Column:
 
 
 def _may_have(text: Column) -> Column:
-    """A cheap necessary condition: every kind has a digit, an @, an = or :, or two capitals one space apart."""
-    return F.regexp_like(text, F.lit(r"[0-9@=:]|\p{L} \p{Lu}"))
+    """A necessary condition: every match has a digit, @, = or :, or the head of an access key, or a space between a letter and a
+    name's capital, or a title with its dot."""
+    out = F.regexp_like(text, F.lit(r"[0-9@=:]|\p{L} \p{Lu}"))
+    for part in ("AKIA", "ASIA", *(f"{t}. " for t in TITLES)):
+        out = out | F.contains(text, F.lit(part))
+    return out
 
 
 def matches(text: Column) -> Column:
