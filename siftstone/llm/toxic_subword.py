@@ -1,6 +1,6 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained jointly.
 
-A word (a run of letters, lower-cased) has features: itself and its n-grams of 3 to 5 characters with marks for
+A word (a run of letters, lower-cased; of a long run each of its overlapping pieces) has features: itself and its n-grams of 3 to 5 characters with marks for
 start and end, hashed to ``BUCKETS`` rows of an embedding. A word's vector is the mean of its features' rows, a
 document's the mean of its different words' vectors and ``PADDING`` zero vectors, so that neither much repeated words
 nor very short texts decide by chance. A linear layer with softmax turns that into two probabilities.
@@ -38,7 +38,7 @@ DOCS_PER_LABEL, WORDS_PER_DOC = 2500, 2000
 EPOCHS, BATCH, RATE, GAIN, PADDING, DECAY = 5, 64, 0.3, 8.0, 30, 1e-3
 #: Features of fewer training documents than this stay zero.
 LEAST_DOCS = 3
-#: Longer runs of letters are cut for features only.
+#: Longer runs of letters count as consecutive pieces of this length, which overlap so that every n-gram is in one.
 WORD_CHARS = 64
 _WORD = re.compile(r"[^\W\d_]+")
 _KEPT_WORDS = 250_000
@@ -51,8 +51,16 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
 
+def pieces(run: str) -> list[str]:
+    """A run of letters, or the pieces of a long one."""
+    if len(run) <= WORD_CHARS:
+        return [run]
+    shared = LONGEST - 1
+    return [run[at : at + WORD_CHARS] for at in range(0, len(run) - shared, WORD_CHARS - shared)]
+
+
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return [p for run in _WORD.findall(text.lower()) for p in pieces(run)] if text else []
 
 
 class Model:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from siftstone.llm import queries
-from siftstone.llm.toxic_subword import BUCKETS, features, fit, sample, score_documents, words
+from siftstone.llm.toxic_subword import BUCKETS, LONGEST, WORD_CHARS, features, fit, pieces, sample, score_documents, words
 
 DATA = "/root/testdata/sf0.1"
 
@@ -40,6 +40,20 @@ def test_misspellings_and_edges(spark):
     assert score_documents(docs.limit(0), model).count() == 0
 
 
+def test_long_runs_are_scored_whole():
+    rng = random.Random(2)
+    for n in (1, 63, 64, 65, 68, 69, 124, 125, 5000):
+        run = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+        parts = pieces(run)
+        assert all(len(p) <= WORD_CHARS for p in parts) and words(run) == parts and (n > WORD_CHARS or parts == [run])
+        assert {run[i : i + LONGEST] for i in range(n - LONGEST + 1)} <= {p[i : i + LONGEST] for p in parts for i in range(len(p))}
+        assert parts[0][:1] == run[:1] and parts[-1][-1:] == run[-1:]
+    texts = [made(rng, 80, 4 * (i % 2)) for i in range(300)]
+    score = fit(texts, [i % 2 for i in range(300)]).scorer()
+    glued = "tablerivergardenwindowpeople" * 3
+    assert score(glued + "worthlessdisgustingpathetic" * 40) > score(glued + "tableriversimplenumber" * 40)
+
+
 def test_sample_is_bounded_and_takes_the_largest_label(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
     labels = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")).union(spark.createDataFrame([(0, 1), (4, None), (None, 1)], "doc_id long, toxic int"))
