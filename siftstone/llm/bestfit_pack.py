@@ -16,7 +16,10 @@ only id is the end id. Repeated rows are packed as often as they occur.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,7 +36,7 @@ from .bpe_tree import little_endian
 from .common import cut
 
 CAPACITY = 2048
-_KEPT_WORDS = 200_000
+_KEPT_WORDS = 400_000
 _CODERS: dict[str, "WordCoder"] = {}
 
 
@@ -42,75 +45,106 @@ class WordCoder:
     are encoded once and kept as bytes, up to a bound: the words of the last generation that are met again move to
     the present one, the rest are forgotten with it.
 
-    A word is encoded as its core, in lower case where that is ASCII, and its tail of ASCII punctuation: after a letter or
-    a digit no match goes on with punctuation. So a core is encoded once, whatever follows it. Unknown parts are encoded many
-    at a time, as one text with a mark between them; parts that have the mark's character are encoded alone."""
+    A run of letters with nothing but ASCII punctuation behind it is two matches, whatever the letters are. Where the letters
+    are such that normalising only lower-cases them (``LETTERS``), the first of these is merged directly by the ranks of
+    the file's merges, very many runs at a time: the end of a word is a byte of its own that joins its last byte before
+    all else. That is the same as applying the list of merges if every entry of the vocabulary merges to itself, which
+    a test verifies for the file in use. Everything else goes to the library as it is."""
 
-    MARK = "|"
-    TAIL = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Letters that normalise to their small form alone, each to one character.
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    PUNCTUATION = r"!-/:-@\[-`{-~"
+    PARTS = re.compile(rf"([{LETTERS}]+)([{PUNCTUATION}]*)(?= |\Z)|([^ ]+)")
+    END = "\0"
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.library.encode_special_tokens = True
+        with open(tokenizer_file, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.ranks, self.ends = merge_ranks(model, self.END.encode())
+        self.merges = tiktoken.Encoding("words", pat_str=rf"[^{self.END}]+{self.END}", mergeable_ranks=self.ranks, special_tokens={})
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        mark = self.ids(self.MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def ids(self, text: str) -> list[int]:
-        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def parts(self, word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(self.TAIL)
-        if core.isascii():
-            return (core.lower(), word[len(core) :]) if core else (word, b"")
-        if len(core) < len(word) and not core.decode()[-1].isalpha():
-            return word, b""
-        return core, word[len(core) :]
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def ids(self, text: str) -> bytes:
+        return little_endian(array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids))
+
+    def cores(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of different words of small ``LETTERS``."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 8192):
+            part = words[at : at + 8192]
+            ids = self.merges.encode_to_numpy(self.END.join(part) + self.END)
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.astype("<u4").tobytes()
+            out.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
+        return out
 
     def learn(self, words: list[bytes]) -> None:
         """Make all of ``words`` known."""
-        known, before, split = self.known, self.before, []
+        known, old = self.known, self.before.get
+        new = []
         for w in words:
-            if (old := before.get(w)) is not None:
-                known[w] = old
+            if (ids := old(w)) is not None:
+                known[w] = ids
+            else:
+                new.append(w)
+        if not new:
+            return
+        parts = self.PARTS.findall(b" ".join(new).decode())
+        small = [core.lower() for core, _, _ in parts]
+        cores, tails = self.cores(list({c for c in small if c})), self.tails
+        if len(tails) > _KEPT_WORDS:
+            tails.clear()
+        for w, core, (_, tail, other) in zip(new, small, parts):
+            if core:
+                if (end := tails.get(tail)) is None:
+                    end = tails[tail] = self.ids(tail) if tail else b""
+                known[w] = cores[core] + end
             else:
-                split.append((w, *self.parts(w)))
-        together, alone = {}, self.mark is None
-        for w, core, tail in split:
-            for part in (core, tail):
-                if part and part not in known and part not in together:
-                    if (old := before.get(part)) is not None:
-                        known[part] = old
-                    elif alone or b"|" in part:
-                        known[part] = little_endian(array("I", self.ids(part.decode())))
-                    else:
-                        together[part] = None
-        todo = list(together)
-        for at in range(0, len(todo), 1024):
-            part = todo[at : at + 1024]
-            ids = np.array(self.ids(f" {self.MARK} ".join([w.decode() for w in part])), "<u4")
-            marks = np.flatnonzero(ids == self.mark)
-            if len(marks) != len(part) - 1:
-                raise ValueError("this tokenizer joins words across the mark")
-            data = ids.tobytes()
-            starts, ends = [0, *(4 * (marks + 1)).tolist()], [*(4 * marks).tolist(), len(data)]
-            known.update(zip(part, [data[a:b] for a, b in zip(starts, ends)]))
-        for w, core, tail in split:
-            if w != core:
-                known[w] = known[core] + known[tail] if tail else known[core]
+                known[w] = self.ids(other)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > _KEPT_WORDS:
             self.before, self.known = self.known, {}
-        runs = [(t or "").encode().split() for t in texts]
-        self.learn(list(set(chain.from_iterable(runs)).difference(self.known)))
-        of = self.known.__getitem__
-        return [b"".join(map(of, run)) for run in runs]
+        collected = gc.isenabled()
+        gc.disable()  # millions of small objects and no cycles among them
+        try:
+            runs = [(t or "").encode().split() for t in texts]
+            self.learn(list(set(chain.from_iterable(runs)).difference(self.known)))
+            of = self.known.__getitem__
+            return [b"".join(map(of, run)) for run in runs]
+        finally:
+            if collected:
+                gc.enable()
+
+
+def merge_ranks(model: dict, end: bytes) -> tuple[dict[bytes, int], np.ndarray]:
+    """Ranks of byte strings for a vocabulary of byte-level BPE with word ends, ``end`` standing for these; and which ids end
+    a word. Ids must be in the order of merging: the bytes, the bytes that end a word, and then the merges."""
+    # Fixed rule of byte-level vocabularies: printable bytes are their own character, the others follow from 256 on.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    suffix, ranks = model["end_of_word_suffix"], {}
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    for token, i in model["vocab"].items():
+        last = token.endswith(suffix)
+        body = token[: len(token) - len(suffix)] if last else token
+        if any(c not in byte_of for c in body) or token.startswith("<|"):
+            continue
+        ranks[bytes(byte_of[c] for c in body) + end * last] = i
+        ends[i] = last
+    for i, pair in enumerate(model["merges"]):
+        a, b = pair if isinstance(pair, list) else pair.split(" ")
+        if model["vocab"][a + b] != 512 + i:
+            raise ValueError("the ids of this vocabulary are not in the order of its merges")
+    return ranks, ends
 
 
 def coder(tokenizer_file: str) -> WordCoder:

@@ -1,6 +1,8 @@
 """Packing against one-at-a-time best fit, and the query's invariants against the tokenizer itself."""
 
 import bisect
+import itertools
+import json
 import random
 import struct
 import zlib
@@ -9,7 +11,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from siftstone.llm.bestfit_pack import CapacityTree, pack, pack_histogram
+from siftstone.llm.bestfit_pack import CapacityTree, WordCoder, pack, pack_histogram
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,7 +70,6 @@ def test_pieces_and_places(spark):
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(3, "x", "clash"), (None, "y", None)]
     got = pack(spark.createDataFrame(rows, "doc_id long, text string, sequence_id string"), FILE).collect()
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     want = Counter()
     for k, text, _ in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -87,3 +88,33 @@ def test_pieces_and_places(spark):
         assert at <= 2048
     assert len(used) == one_at_a_time([r["length"] for r in got], 2048)
     assert pack(spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
+
+
+def test_ids_equal_the_library_on_nasty_strings():
+    """All strings of up to three of these, among them what normalising joins, splits or changes, and special tokens."""
+    own, t = WordCoder(FILE), Tokenizer.from_file(FILE)
+    alphabet = [*"a.Zé'İ\x1c!ß1\u0301\x85\xa0ǅΣς|<\0", "I'll", "<|endoftext|>", "ﬁ", "漢", "À", " "]
+    texts = ["".join(p) for k in (1, 2, 3) for p in itertools.product(alphabet, repeat=k)]
+    for text, got, want in zip(texts, own.encode(texts), t.encode_batch(texts, add_special_tokens=False)):
+        assert got == struct.pack(f"<{len(want.ids)}I", *want.ids), repr(text)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeinrstlodéüñß") for _ in range(rng.randint(1, 40))) for _ in range(20_000)]
+    assert own.encode(words) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch(words, add_special_tokens=False)]
+
+
+def test_every_entry_merges_to_itself():
+    """By the list of merges, applied as it stands. Then merging by rank of the joined bytes is the same for every text."""
+    with open(FILE, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+    for token in model["vocab"]:
+        if token.startswith("<|"):
+            continue
+        body = token.removesuffix("</w>")
+        parts = list(body) if body == token else [*body[:-1], body[-1] + "</w>"]
+        while len(parts) > 1:
+            best, at = min(((rank.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:]))), default=(1 << 30, 0))
+            if best == 1 << 30:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        assert parts == [token], token
