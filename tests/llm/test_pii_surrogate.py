@@ -1,10 +1,14 @@
 """Surrogates keep kind and format, hide the original, are the same for one entity and different for two."""
 
+import hashlib
 import re
+import time
+from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
-from siftstone.llm.pii_surrogate import GIVEN, PATTERNS, drawn_again, entities, matches, norms, replace, surrogate
+from siftstone.llm.pii_surrogate import ANY, ATTEMPTS, ENDINGS, FEMININE, GIVEN, HERS, HIS, LONGER, PATTERNS, SYLLABLES, TITLES, drawn_again, entities, matches, mentions, norms, pieces, replace, surrogate
 
 TEXTS = {
     1: "Mail Anna.Smith42@mail5.Example.com or anna.smith42@mail5.example.com now.",
@@ -58,10 +62,10 @@ def test_surrogates(spark):
 def test_collisions_are_drawn_again(spark):
     """Short secrets of digits only have few surrogates, so many collide at first."""
     words = [f"{i:04d}" for i in range(3000)]
-    found = spark.createDataFrame([("phone", w) for w in words], "kind string, norm string")
-    again = drawn_again(found, "k")
+    found = spark.createDataFrame([("phone", w, 0) for w in words], "kind string, norm string, sex int")
+    again = drawn_again(found, "k").cache()
     assert again.count() > 500
-    final = found.join(again, ["kind", "norm"], "left").select("norm", surrogate("k", F.col("kind"), F.col("norm"), F.coalesce("attempt", F.lit(0))).alias("s"))
+    final = found.join(again, ["kind", "norm"], "left").select("norm", surrogate("k", F.col("kind"), F.col("norm"), F.coalesce("code", F.lit(0))).alias("s"))
     made = {r["norm"]: r["s"] for r in final.collect()}
     assert len(set(made.values())) == len(words) and not set(made.values()) & set(words)
 
@@ -69,7 +73,7 @@ def test_collisions_are_drawn_again(spark):
 def test_redrawn_entities_reach_the_text(spark):
     """Surnames in one text are replaced by what the table says."""
     docs = spark.createDataFrame([(i, f"call +49 {i:04d} {i:03d} {i:03d} or +49 {i + 1:04d} {i:03d} {i:03d}") for i in range(1000, 1040)], "doc_id long, text string")
-    found = entities(docs)
+    found = entities(mentions(docs))
     assert found.count() == 80
     out = [re.findall(r"[0-9]+", r["text"]) for r in replace(docs).collect()]
     assert len({tuple(x[1:4]) for x in out} | {tuple(x[5:8]) for x in out}) == 80
@@ -98,7 +102,7 @@ def test_every_kind_as_the_only_content(spark):
     alone = [(kind, x) for kind, values in ALONE.items() for x in values]
     docs = spark.createDataFrame([(i, kind, x) for i, (kind, x) in enumerate(alone)], "doc_id long, kind string, text string")
     assert [r[0] for r in docs.orderBy("doc_id").select(matches(F.col("text"))).collect()] == [[x] for _, x in alone]
-    assert {r["kind"] for r in entities(docs).collect()} == set(PATTERNS)
+    assert {r["kind"] for r in entities(mentions(docs)).collect()} == set(PATTERNS) - {"person"} | {"given", "surname"}
     out = {r["doc_id"]: (r["text"], r["n"]) for r in replace(docs.drop("kind"), count="n").collect()}
     assert all(out[i][0] != x and out[i][1] == 1 for i, (_, x) in enumerate(alone))
     calls = spark.createDataFrame([(1, "Mr. Smith called."), (2, "Dr. Weber kommt."), (3, "to [2001:db8::1]:443."), (4, "std::min a :: b 1:2:3 12:30 1:2:3:4:5:6:7:8:9 1::2::3")], "doc_id long, text string")
@@ -111,5 +115,144 @@ def test_one_ipv6_address_in_all_its_forms(spark):
     import ipaddress
 
     forms = [x for x in ALONE["ipv6"]] + ["2001:db8:0:0:0:0:0:1", "2001:DB8::0001", "::FFFF:c000:201"]
-    rows = spark.createDataFrame([(x,) for x in forms], "x string").select("x", norms(F.lit("ipv6"), F.col("x"))[0].alias("n")).collect()
+    rows = spark.createDataFrame([(x,) for x in forms], "x string").select("x", norms(F.lit("ipv6"), F.col("x"))[0]["norm"].alias("n")).collect()
     assert all(r["n"].replace(":", "") == ipaddress.ip_address(r["x"]).packed.hex() for r in rows)
+
+
+NASTY = {
+    1: "password: ********",
+    2: "password: !!!!!!!! and token = ********",
+    3: "_@-.co and -@-.co and %@-.co and +@-.co",
+    4: "x@" + "a." * 20000,
+    5: "x@" + "ab." * 20000 + "com",
+    6: "y@" + "a-" * 20000 + ".com",
+    7: "word " * 200_000 + "end.77@mail1.example.com",
+    8: "\x01 mark a.b@c.org\x01 and \x01",
+    9: "@" * 50_000 + "1" * 50_000 + ":" * 50_000 + "AKIA" * 10_000,
+    10: " ".join(f"{c}@q.co" for c in "abcdefghijklmnopqrstuvwxyz0123456789"),
+    11: None,
+    12: "",
+}
+
+
+def test_masks_exhausted_spaces_and_long_texts_end(spark):
+    """All 36 e-mail names of one character leave no surrogate of that length; masks have no letter or digit."""
+    docs = spark.createDataFrame(list(NASTY.items()), "doc_id long, text string")
+    began = time.time()
+    out = {r["doc_id"]: (r["text"], r["n"]) for r in replace(docs, key="k", count="n").collect()}
+    assert time.time() - began < 180
+    assert len(out) == len(NASTY) and out[11] == (None, 0) and out[12] == ("", 0)
+    one, = re.fullmatch(r"password: (\S+)", out[1][0]).groups()
+    shout, again = re.fullmatch(r"password: (\S+) and token = (\S+)", out[2][0]).groups()
+    assert one == again != "********" and shout not in ("!!!!!!!!", one) and len(one) == len(shout) == 8
+    mails = re.findall(r"\S+@\S+", out[3][0])
+    assert len(set(mails)) == 4 and not set(mails) & {"_@-.co", "-@-.co", "%@-.co", "+@-.co"}
+    assert out[4] == (NASTY[4], 0) and out[5][1] == 1 and out[5][0] != NASTY[5] and len(out[7][0]) == len(NASTY[7]) and "end.77" not in out[7][0]
+    assert re.fullmatch(r"\x01 mark \w\.\w@\w\.org\x01 and \x01", out[8][0]) and "a.b@c" not in out[8][0]
+    names = out[10][0].split(" ")
+    assert len(set(names)) == 36 and not set(names) & set(NASTY[10].split(" "))
+
+
+def test_pieces_are_the_matches_and_what_is_between(spark):
+    texts = [*TEXTS.values(), *(t for k, t in NASTY.items() if k in (1, 2, 3, 8, 10)), "a@b.org", "a@b.org 1.2.3.4a@b.orgX 1.2.3.4"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pieces(F.col("t")).alias("p"), matches(F.coalesce("t", F.lit(""))).alias("m")).collect()
+    assert all(r["p"] is None if r["t"] is None else "".join(r["p"]) == r["t"] and r["p"][1::2] == r["m"] for r in rows)
+
+
+# a plain version, one entity at a time
+
+FOUND, WHOLE = regex.compile(ANY), {k: regex.compile(p) for k, p in PATTERNS.items()}
+SECRET = regex.compile(r"^\p{L}+[_-]?\p{L}*\s*[=:]\s*[\"']?")
+TITLE = regex.compile(rf"^(?:({'|'.join(TITLES)})\.? )?")
+LISTED = {n.lower() for v in GIVEN.values() for n in v}
+
+
+def plain_entities(match):
+    kind = next(k for k in PATTERNS if WHOLE[k].fullmatch(match))
+    digits = regex.sub("[^0-9]", "", match)
+    if kind != "person":
+        return kind, [(kind, {"email": match.lower(), "phone": digits[-10:], "card": digits, "ssn": digits, "secret": SECRET.sub("", match)}.get(kind, match), 0)]
+    title, tokens = TITLE.match(match).group(1), TITLE.sub("", match).lower().split(" ")
+    sex = (title in HERS) - (title in HIS)
+    return kind, [("given", t, sex) if t in LISTED or (i == 0 and len(tokens) > 1) else ("surname", t, 0) for i, t in enumerate(tokens)]
+
+
+def plain_surrogate(key, kind, norm, attempt, woman):
+    def hashed(kind, norm, attempt):
+        inner = hashlib.sha256(f"{key}\x1f{kind}\x1f{norm}\x1f{attempt}".encode()).hexdigest()
+        return hashlib.sha512(f"{key}\x1e{inner}".encode()).hexdigest()
+
+    def drawn(h, i, n):
+        return int(h[i * 2 % 126 : i * 2 % 126 + 2], 16) % n
+
+    def same(h, text, symbols=""):
+        if symbols and not re.search("[0-9A-Za-z]", text):
+            return "".join(symbols[drawn(h, i, len(symbols))] for i in range(len(text)))
+        sets = [s for s in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+        return "".join(next((s[drawn(h, i, len(s))] for s in sets if c in s), c) for i, c in enumerate(text))
+
+    h = hashed(kind, norm, attempt)
+    digits = lambda n: "".join(str(drawn(h, i, 10)) for i in range(n))
+    more = "".join(str(drawn(h, 62 - i, 10)) for i in range(max(0, attempt - LONGER + 1)))
+    if attempt >= ATTEMPTS:
+        return h[:64]
+    if kind == "email":
+        name, _, domain = norm.partition("@")
+        site, _, top = domain.rpartition(".")
+        return same(h, name, "_%+-") + more + "@" + same(hashed("domain", domain, 0), site) + "." + top
+    if kind == "phone":
+        first = drawn(h, 60, 10) % 8 + 2 if len(norm) == 10 else drawn(h, 60, 10)
+        return str(first) + digits(len(norm) - 1) + more
+    if kind == "ssn":
+        return digits(9) + more
+    if kind == "ipv4":
+        return ".".join(str(int(h[4 * i : 4 * i + 4], 16) % (254 if i else 223) + 1) for i in range(4))
+    if kind == "secret":
+        return (h[: len(norm)] if re.fullmatch("[0-9a-f]+", norm) else same(h, norm, "+/_.~!@#$%^&*-")) + more
+    if norm in LISTED:
+        return None
+    script = "cyrillic" if regex.search(r"\p{IsCyrillic}", norm) else "greek" if regex.search(r"\p{IsGreek}", norm) else "latin"
+    ending, least = ("s", 4) if kind == "surname" else ("f" if woman else "m", 3)
+    pick = lambda values, i: values[int(h[4 * i : 4 * i + 4], 16) % len(values)]
+    return "".join(pick(SYLLABLES[script], i) for i in range(least + attempt)) + pick(ENDINGS[ending, script], 31)
+
+
+def plain_replace(texts, key):
+    sexes, names = Counter(), {}
+    for text in set(texts):
+        for e in {e for m in FOUND.findall(text) for e in plain_entities(m)[1]}:
+            sexes[e[:2]] += e[2]
+    woman = {e: bool(re.search(FEMININE, e[1])) if not n else n > 0 for e, n in sexes.items()}
+    state = {e: (0, plain_surrogate(key, *e, 0, woman[e])) for e in sexes if e[0] != "given" or e[1] not in LISTED}
+    for attempt in range(1, ATTEMPTS + 1):
+        best = {}
+        for (kind, norm), (a, s) in state.items():
+            best[kind, s] = min(best.get((kind, s), (a, norm)), (a, norm))
+        lost = [(kind, norm) for (kind, norm), (a, s) in state.items() if (kind, s) in sexes or best[kind, s] != (a, norm)]
+        state |= {e: (attempt, plain_surrogate(key, *e, attempt, woman[e])) for e in lost}
+    out = []
+    for text in texts:
+        found = [(m, *plain_entities(m.group())) for m in FOUND.finditer(text)]
+        out.append([[None if e[:2] not in state else state[e[:2]][1] for e in es] for _, _, es in found])
+    return out
+
+
+def test_equal_to_a_plain_version(spark):
+    """Every surrogate of every match, read back out of the texts by kind, is the one of the plain version."""
+    texts = ["Frau Gertrud Meier met Dr. Gertrud Alba", "Ms. Gertrud Meier too.", "Herr Gertrud Weber", "Herr Luca Nikita; Anna Schmidt", "Mr. Dana Smith or Prof. Dana Smith", "Господин Никита Петров, Frau Ulrike Meyer", "+1 22 33 44 then +1 22 33 45", "token: abc!def9, password=0123abcd, password: ********", "ssn 123-45-6789, 1.2.3.4 and 9.8.7.6"]
+    texts += [f"{c}@q.co or {d}@q.co" for c, d in zip("abcdefghijklmnopqr", "stuvwxyz0123456789")] + [f"Mr. Sir{chr(97 + i)} Abe{chr(97 + i)}" for i in range(26)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in replace(docs, key="k").collect()}
+    for i, (text, want) in enumerate(zip(texts, plain_replace(texts, "k"))):
+        parts, at = [], 0
+        for m in FOUND.finditer(text):
+            parts += [re.escape(text[at : m.start()]), "(.+?)"]
+            at = m.end()
+        seen = re.fullmatch("".join(parts) + re.escape(text[at:]), got[i], re.S)
+        assert seen, (text, got[i])
+        for new, made in zip(seen.groups(), want):
+            low = regex.sub(r"[ ().+-]", "", new.lower())
+            for s in made:
+                assert s is None or regex.sub(r"[ ().+-]", "", s.lower()) in low, (text, got[i], made)
+    her, his = re.match(r"Frau (\w+) \w+ met Dr\. (\w+) ", got[0]).groups()
+    assert her == his and her.endswith(tuple(ENDINGS["f", "latin"]))
