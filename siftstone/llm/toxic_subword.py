@@ -10,9 +10,8 @@ the vectors of those n-grams that it shares with known words.
 The layer is linear, so after training each feature counts by a single number; scoring adds these up over the
 whole text, however long.
 
-Training reads a bounded sample: about ``DOCS_PER_LABEL`` documents of each label, chosen by a hash of the id, and
-at most ``WORDS_PER_DOC`` different words of each, evenly spaced in the text. Scoring reads whole texts of all
-documents. Without a training row of either label every score is 0.5. Null text and text without a letter get the
+Training reads a bounded sample: about ``DOCS_PER_LABEL`` documents of each label, chosen by a hash of the id, of at
+most about ``SAMPLE_BYTES`` together, with all their different words. Scoring reads whole texts of all documents. Without a training row of either label every score is 0.5. Null text and text without a letter get the
 score of the bias alone. Rows with null labels or ids are not learned from; of several labels for one id the
 largest counts. Repeated rows are scored alike.
 """
@@ -34,10 +33,12 @@ from pyspark.sql import types as T
 from .common import cut
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
-DOCS_PER_LABEL, WORDS_PER_DOC = 2500, 2000
-EPOCHS, BATCH, RATE, GAIN, PADDING, DECAY = 5, 64, 0.3, 8.0, 30, 1e-3
-#: Features of fewer training documents than this stay zero.
-LEAST_DOCS = 3
+DOCS_PER_LABEL, SAMPLE_BYTES = 2500, 256 << 20
+EPOCHS, BATCH, RATE, START, GAIN, PADDING, DECAY = 14, 64, 0.3, 1e-8, 8.0, 30, 1e-3
+#: Share of a document's words that each epoch leaves out at random, so that rare words can't stand for a document.
+DROP = 0.8
+#: A feature of n training documents counts by n / (n + DOUBT): what was met rarely is trusted less, but never left out.
+DOUBT = 64.0
 #: Longer runs of letters count as consecutive pieces of this length, which overlap so that every n-gram is in one.
 WORD_CHARS = 64
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,7 +47,7 @@ _KEPT_WORDS = 250_000
 
 def features(word: str) -> list[int]:
     """Rows of the embedding for a word: the whole word and its n-grams."""
-    marked = f"<{word[:WORD_CHARS]}>"
+    marked = f"<{word}>"
     parts = [marked, *(marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1) if n < len(marked))]
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
@@ -101,9 +102,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     vocabulary: dict[str, int] = {}
     bags = []
     for t in texts:
-        bag = list(dict.fromkeys(words(t)))
-        chosen = bag[:: max(1, -(-len(bag) // WORDS_PER_DOC))]
-        bags.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in chosen), np.int64, len(chosen)))
+        bag = dict.fromkeys(words(t))
+        bags.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in bag), np.int64, len(bag)))
     held, ends_at = array("i"), array("q", [0])
     for w in vocabulary:
         held.extend(features(w))
@@ -113,29 +113,30 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     spread = np.zeros(BUCKETS, np.int64)
     for ids in bags:
         spread[np.unique(np.concatenate([np.zeros(0, np.int64), *[flat[starts[i] : starts[i + 1]] for i in ids]]))] += 1
+    trust = (spread / (spread + DOUBT))[:, None]
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
-    table[spread < LEAST_DOCS] = 0
     layer, bias = rng.uniform(-0.5, 0.5, (DIM, 2)), np.zeros(2)
-    seen_table, seen_layer, seen_bias = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
+    seen_table, seen_layer, seen_bias = np.full(BUCKETS, START), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
     y = np.asarray(labels)
     balance = len(y) / (2.0 * np.bincount(y, minlength=2)[:2])
     per_row = lambda at, values, n: np.stack([np.bincount(at, weights=values[:, d], minlength=n) for d in range(values.shape[1])], axis=1)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
+        kept = [b[rng.random(len(b)) >= DROP] for b in bags]
         for at in range(0, len(y), BATCH):
-            batch = [b for b in order[at : at + BATCH] if len(bags[b])]
+            batch = [b for b in order[at : at + BATCH] if len(kept[b])]
             if not batch:
                 continue
-            doc = np.repeat(np.arange(len(batch)), [len(bags[b]) for b in batch])
-            share = np.concatenate([np.full(len(bags[b]), 1.0 / (len(bags[b]) + PADDING)) for b in batch])
-            own, inverse = np.unique(np.concatenate([bags[b] for b in batch]), return_inverse=True)
+            doc = np.repeat(np.arange(len(batch)), [len(kept[b]) for b in batch])
+            share = np.concatenate([np.full(len(kept[b]), 1.0 / (len(kept[b]) + PADDING)) for b in batch])
+            own, inverse = np.unique(np.concatenate([kept[b] for b in batch]), return_inverse=True)
             n = sizes[own]
             ends = np.cumsum(n)
             place = np.arange(ends[-1]) + np.repeat(starts[own] - (ends - n), n)
             used, slot = np.unique(flat[place], return_inverse=True)
-            common = (spread[used] >= LEAST_DOCS)[:, None]
-            vectors = np.add.reduceat(table[used][slot], ends - n, axis=0) / n[:, None]
+            own_trust = trust[used]
+            vectors = np.add.reduceat((table[used] * own_trust)[slot], ends - n, axis=0) / n[:, None]
             mean = per_row(doc, vectors[inverse] * share[:, None], len(batch))
             logits = GAIN * mean @ layer + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -144,30 +145,32 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             p *= balance[y[batch]][:, None] / len(batch)
             to_layer, to_bias, to_mean = GAIN * mean.T @ p, p.sum(axis=0), GAIN * p @ layer.T
             to_vectors = per_row(inverse, to_mean[doc] * share[:, None], len(own)) / n[:, None]
-            to_table = per_row(slot, np.repeat(to_vectors, n, axis=0), len(used)) * common
+            to_table = per_row(slot, np.repeat(to_vectors, n, axis=0), len(used)) * own_trust
             seen_table[used] += (to_table**2).mean(axis=1)
             table[used] -= RATE * (to_table / np.sqrt(seen_table[used])[:, None] + DECAY * table[used])
             seen_layer += to_layer**2
             layer -= RATE * to_layer / np.sqrt(seen_layer)
             seen_bias += to_bias**2
             bias -= RATE * to_bias / np.sqrt(seen_bias)
-    return Model((GAIN * table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((GAIN * trust * table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int = DOCS_PER_LABEL) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int = DOCS_PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
     """Texts and labels of about ``per_label`` documents of each label. Ids are chosen among the labels first, so only
     the chosen ids meet the documents. Their number is bounded in expectation; they are broadcast if it is so in fact, and
-    joined by shuffle otherwise."""
+    joined by shuffle otherwise. Where their texts have more than ``most_bytes``, the share is lessened in proportion."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return [], []
     place = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000.0
     share = F.when(F.col("label") == 1, per_label / sizes[1]).otherwise(per_label / sizes[0])
-    chosen = cut(known.where(place < share))
+    chosen = cut(known.withColumn("part", place / share).where("part < 1"))
     if chosen.count() <= 4 * per_label:
         chosen = F.broadcast(chosen)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("key", "text", "label").collect()
+    found = cut(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("key", "text", "label", "part"))
+    total = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = found.where(F.col("part") < min(1.0, most_bytes / max(1, total))).select("key", "text", "label").collect()
     rows.sort(key=lambda r: (r["key"], r["text"] or ""))
     return [r["text"] or "" for r in rows], [r["label"] for r in rows]
 
