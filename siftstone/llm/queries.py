@@ -50,7 +50,7 @@ def op10_toxic_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxic_subword import fit, sample, score_documents
 
     docs, held_out = table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) == 0
-    texts, labels = sample(docs.where(~held_out), table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    texts, labels = sample(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out), "doc_id", "text", "toxic")
     return score_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), fit(texts, labels))
 
 
@@ -127,9 +127,9 @@ ORACLES["op1_url_trust"] = rf"""with recursive {_URL_PARTS}, rules(verdict, rule
  e as (select src, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst, count(distinct page_id) as n from l group by 1, 2 having src <> dst and src <> ''),
  w as (select src as h, dst as t, 0 as kind, 0.85 * n / sum(n) over (partition by src) as part from e union all select dst, src, 1, 0.85 * n / sum(n) over (partition by dst) from e),
  s as (select host, kind, 0.15 * avg((coalesce(r.verdict, '') = (case kind when 0 then 'allow' else 'block' end))::int) as score from j, (values (0), (1)) k(kind) group by 1, 2),
- p as (select host, kind, score, 0 as step from s where score > 0 union all select w.t, w.kind, sum(p.score * w.part), any_value(p.step) + 1 from p join w on w.h = p.host and w.kind = p.kind where p.step < 20 group by w.t, w.kind),
+ p as (select host, kind, score, 0 as step from s where score > 0 union all select w.t, w.kind, sum(p.score * w.part), any_value(p.step) + 1 from p join w on w.h = p.host and w.kind = p.kind where p.step < 300 group by w.t, w.kind),
  g as (select host, sum(score) filter (kind = 1) as bad, sum(score) filter (kind = 0) as good from p group by 1)
- select page_id, j.host, path, r.rule as rule, coalesce(r.verdict, case when coalesce(bad, 0) - coalesce(good, 0) > 0 then 'block' else 'allow' end) as verdict from j left join g on g.host = j.host"""
+ select page_id, j.host, path, r.rule as rule, coalesce(r.verdict, case when coalesce(bad, 0) - coalesce(good, 0) > 1e-6 then 'block' else 'allow' end) as verdict from j left join g on g.host = j.host"""
 
 ORACLES["op7_warc_zstd"] = """with p as (select page_id, encode(coalesce(html, '')) as b from pages), f as (select *, min(page_id) over (partition by b) as first from p),
  d as (select *, array_to_string(list_transform(string_split(sha1(b), ''), lambda c: lpad(bin(('0x' || c)::int), 4, '0')), '') as bits from f)
@@ -144,7 +144,7 @@ ORACLES["op6_line_frequency"] = rf"""with t as (select doc_id, source, coalesce(
  lines as (select doc_id, source, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from t),
  dup as (select doc_id, count(*) as n from (select doc_id, line, row_number() over (partition by doc_id, line order by pos) as k from lines) where k > 1 and regexp_matches(line, '{_WORD}') group by 1),
  normal as (select doc_id, source, text, array_to_string(regexp_extract_all(lower(line), '{_WORD}'), ' ') as line, len(regexp_extract_all(line, '{_WORD}')) as words from lines where regexp_matches(line, '{_WORD}')),
- hosts as (select source, count(distinct text) as n from t group by 1), often as (select l.source, line from normal l join hosts h on h.source is not distinct from l.source group by l.source, line, h.n having count(distinct text) > 10 and count(distinct text) > 0.10 * h.n),
+ hosts as (select source, count(distinct text) as n from t group by 1), often as (select l.source, line from normal l join hosts h on h.source is not distinct from l.source group by l.source, line, h.n having count(distinct text) > 10 and count(distinct text) > sqrt(h.n)),
  gone as (select doc_id, sum(words)::bigint as n from normal l join often o on o.source is not distinct from l.source and o.line = l.line group by 1),
  c as (select t.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda z: length(z))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(marked.n, 0)::bigint as n_repeat_words, coalesce(gone.n, 0)::bigint as removed
  from t left join marked using (doc_id) left join dup using (doc_id) left join gone using (doc_id)), b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)

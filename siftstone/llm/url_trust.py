@@ -6,9 +6,16 @@ trust, its share of blocked pages its seed of distrust. Trust is propagated alon
 PageRank, distrust against them from the blocked seeds, each link passing on its part of the linking (or linked) host's
 score times ``DAMPING``. A host whose distrust exceeds its trust by more than ``MARGIN`` is blocked.
 
+Propagation ends when all that is still to come, over all hosts together, is at most ``LEAST``, however many links that
+takes; ``MARGIN`` is larger, so nothing that is left out decides a verdict by itself. (A seed of 1 is above the margin
+up to some 70 links away.) Scores are in units of one wholly allowed or blocked host. Bringing either kind's seeds to
+a sum of 1, or giving back to the seeds what hosts without links hold, multiplies all scores of that kind by one
+number; neither is done, as it would weigh trust against distrust by how common each is.
+
 Links are the absolute and protocol-relative ``href`` targets in the page; a host's links to itself pass nothing on.
 All of it is DataFrame expressions: edges are summed before the shuffle, each step joins edges with the scores that
-changed, and only a count and a sum come to the driver.
+changed, and only a sum comes to the driver. Pages meet their host's score by broadcast up to ``BROADCAST_ROWS`` hosts,
+beyond that by host and one of ``SALTS`` numbers, so a host with a third of all pages is not one task.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and are judged by the empty host. Null
 html has no links. Repeated rows are judged alike and count as often as they occur.
@@ -21,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
 
-DAMPING, STEPS, LEAST, MARGIN = 0.85, 20, 1e-6, 0.0
+DAMPING, LEAST, MARGIN = 0.85, 1e-7, 1e-6
+BROADCAST_ROWS, SALTS = 100_000, 16
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\s"'<>]+)"""
 
 
@@ -50,7 +58,7 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, least: float = LEAST) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, least: float = LEAST) -> DataFrame:
     """(host, kind, score) from seeds (host, kind, score): kind 0 goes along edges (src, dst, n), kind 1 against them."""
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
@@ -58,15 +66,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     along = edges.join(out, "src").select(F.col("src").alias("host"), F.lit(0).alias("kind"), F.col("dst").alias("to"), part)
     against = edges.join(into, "dst").select(F.col("dst").alias("host"), F.lit(1).alias("kind"), F.col("src").alias("to"), part)
     ways = cut(along.union(against))
+    summed = lambda rows: rows.groupBy("host", "kind").agg(F.sum("score").alias("score"))
     scores = gain = cut(seeds.select("host", "kind", ((1 - damping) * F.col("score")).alias("score")))
     if ways.isEmpty():
         return scores
-    for _ in range(steps):
+    step = 0
+    while (gain.agg(F.sum("score")).first()[0] or 0.0) * damping / (1 - damping) > least:
         gain = cut(ways.join(gain, ["host", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("score") * F.col("part")).alias("score")))
-        scores = scores.union(gain)
-        if not (gain.agg(F.max("score")).first()[0] or 0.0) > least * (1 - damping):
-            break
-    return scores.groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        step += 1
+        scores = scores.union(gain) if step % 16 else cut(summed(scores.union(gain)))
+    return summed(scores)
+
+
+def with_scores(rows: DataFrame, hosts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (host, key) with the columns of ``hosts`` (one row for each host), null where it has none."""
+    if hosts.count() <= broadcast_rows:
+        return rows.join(F.broadcast(hosts), "host", "left")
+    copies = hosts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key", "path"), F.lit(SALTS)).cast("int")).join(copies, ["host", "salt"], "left").drop("salt")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", html: str = "html", margin: float = MARGIN, **how) -> DataFrame:
@@ -80,7 +97,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     seeds = by_host.select("host", F.explode(kinds).alias("s")).select("host", "s.kind", "s.score").where("score > 0")
     scores = propagate(cut(host_edges(named)), seeds, **how)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
-    hosts = scores.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
-    both = ruled.join(hosts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    hosts = cut(scores.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust")))
+    both = with_scores(ruled, hosts).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     verdict = F.coalesce("ruled", F.when(F.col("distrust") - F.col("trust") > margin, "block").otherwise("allow"))
     return both.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
