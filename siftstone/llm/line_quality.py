@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, white space to single spaces) and hashed. For each host the distinct documents
 that have a line are counted; exact copies of a text count as one document. A line is above the limit when it
-stands in more than ``least`` documents of the host and in more than ``share`` of them. Such lines are removed, and a document that
-is left with less than ``left`` of its words is depleted and rejected. Documents that fail the base rules are
+stands in more than ``least`` documents of the host and in more than ``root`` times the square root of their number, so
+the limit falls as a share of a host as the host grows (4 % of 500 documents, 0.01 % of 100 million), while chance
+repetitions, which grow with a host as well, stay below it. Such lines are removed, and a document that is left with less than ``left`` of its words is depleted and rejected. Documents that fail the base rules are
 rejected in any case: fewer than 50 words, or more than half of the words in repeated 3-word windows.
 
 Words are runs other than space and \\x09-\\x0D. Null text has none. A line without a word is neither counted nor
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, spare
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
-LEAST, SHARE, LEFT = 10, 0.10, 0.30
+LEAST, ROOT, LEFT = 10, 1.0, 0.30
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -111,19 +112,19 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     return source.mapInArrow(run, schema)
 
 
-def frequent_lines(measured: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def frequent_lines(measured: DataFrame, least: int = LEAST, root: float = ROOT) -> DataFrame:
     """(host, h) of the lines above the limit."""
     each = measured.select("host", "content", F.explode("lines.h").alias("h")).distinct()
     counted = each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least)
     sizes = measured.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     same = F.col("a.host").eqNullSafe(F.col("b.host"))
-    return counted.alias("a").join(sizes.alias("b"), same).where(F.col("n") > share * F.col("n_host")).select("a.host", "h")
+    return counted.alias("a").join(sizes.alias("b"), same).where(F.col("n") > root * F.sqrt("n_host")).select("a.host", "h")
 
 
-def removed_lines(measured: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def removed_lines(measured: DataFrame, least: int = LEAST, root: float = ROOT) -> DataFrame:
     """(key, content, host, removed, hashes) for the documents that have lines above the limit."""
     each = measured.select("key", "content", "host", F.explode("lines").alias("l")).select("key", "content", "host", F.col("l.h").alias("h"), F.col("l.words").alias("words"))
-    lines = frequent_lines(measured, least, share)
+    lines = frequent_lines(measured, least, root)
     met = each.alias("a").join(lines.alias("b"), (F.col("a.h") == F.col("b.h")) & F.col("a.host").eqNullSafe(F.col("b.host"))).select("a.*").distinct()
     return met.groupBy("key", "content", "host").agg(F.sum("words").alias("removed"), F.collect_set("h").alias("hashes"))
 
@@ -135,10 +136,10 @@ def _same(columns: tuple[str, ...]):
     return out
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = LEAST, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = LEAST, root: float = ROOT, left: float = LEFT) -> DataFrame:
     """(key, host, content, base counts, removed, hashes, base_failed, kept) for each row."""
     measured = cut(measure(docs, key, text, host))
-    gone = removed_lines(measured, least, share)
+    gone = removed_lines(measured, least, root)
     both = measured.drop("lines").alias("a").join(gone.alias("b"), _same(("key", "content", "host")), "left").select("a.*", F.coalesce("b.removed", F.lit(0)).cast("long").alias("removed"), "b.hashes")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("removed")) < left * F.col("n_words")
@@ -157,9 +158,10 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     """The kept rows of ``docs``, with all their columns, without the lines above the limit."""
     verdict = judge(docs, key, text, host).where("kept").select("key", "host", "content", "hashes").dropDuplicates(["key", "host", "content"])
     names = docs.columns
-    tagged = docs.select("*", F.col(key).alias("__key"), F.col(host).cast("string").alias("__host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__content"))
-    same = F.col("__key").eqNullSafe(F.col("v.key")) & F.col("__host").eqNullSafe(F.col("v.host")) & (F.col("__content") == F.col("v.content"))
-    kept = tagged.join(verdict.alias("v"), same).select(*[tagged[c] for c in names], F.col("v.hashes").alias("__hashes"))
+    own_key, own_host, own_content, gone = (spare(names, x) for x in ("key", "host", "content", "hashes"))
+    tagged = docs.select("*", F.col(key).alias(own_key), F.col(host).cast("string").alias(own_host), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(own_content))
+    same = F.col(f"d.{own_key}").eqNullSafe(F.col("v.key")) & F.col(f"d.{own_host}").eqNullSafe(F.col("v.host")) & (F.col(f"d.{own_content}") == F.col("v.content"))
+    kept = tagged.alias("d").join(verdict.alias("v"), same).select(*[F.col(f"d.`{c}`") for c in names], F.col("v.hashes").alias(gone))
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

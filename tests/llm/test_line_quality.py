@@ -30,14 +30,14 @@ def norm(line):
     return b" ".join(line.lower().encode().split())
 
 
-def plain_judge(rows, least, share, left):
+def plain_judge(rows, least, root, left):
     by_host, sizes = defaultdict(set), defaultdict(set)
     for _, text, host in rows:
         sizes[host].add(text or "")
         for line in (text or "").split("\n"):
             if norm(line):
                 by_host[host, norm(line)].add(text or "")
-    gone = {k for k, v in by_host.items() if len(v) > least and len(v) > share * len(sizes[k[0]])}
+    gone = {k for k, v in by_host.items() if len(v) > least and len(v) > root * len(sizes[k[0]]) ** 0.5}
     out = []
     for key, text, host in rows:
         n, *rest = plain_counts(text)
@@ -55,11 +55,11 @@ def test_judge_and_clean(spark):
     rows += [(100 + i, f"{half}\n{common}\n{line(10)}", "c") for i in range(14)] + [(200 + i, "copy " + line(0) + half, "d") for i in range(20)]
     rows += [(1, rows[1][1], rows[1][2]), (1, "other " + line(60), "a"), (None, line(55), "a"), (7, None, "a"), (8, "", "z"), (9, "no end " * 4000, "z")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, lines string")
-    want = plain_judge(rows, 5, 0.2, 0.3)
-    got = judge(docs, least=5, share=0.2).collect()
+    want = plain_judge(rows, 5, 1.5, 0.3)
+    got = judge(docs, least=5, root=1.5).collect()
     assert Counter((r["key"], *(r[b] for b in BASE), r["base_failed"], r["kept"], r["removed"]) for r in got) == Counter(w[:-1] for w in want)
     assert any(w[-2] for w in want) and not all(w[-3] for w in want)
     kept = clean(docs).collect()
-    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter((w[0], w[-1] or None) for w in plain_judge(rows, 10, 0.1, 0.3) if w[-3])
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter((w[0], w[-1] or None) for w in plain_judge(rows, 10, 1.0, 0.3) if w[-3])
     assert kept[0].asDict().keys() == {"doc_id", "text", "source", "lines"}
     assert judge(docs.limit(0)).count() == 0 and clean(docs.limit(0)).count() == 0
