@@ -37,11 +37,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spare
 from .components import components
 
 WORDS, SEED, MAX_BITS, MIN_BYTES = 4, 42, 4, 4
 PAIRS_UP_TO = 1024
+#: A component's rows are spread over this many keys where they meet its least id.
+SALTS = 16
 
 
 def fingerprint(text: str | None) -> bytes:
@@ -142,7 +144,7 @@ def link(fps: DataFrame, pairs_up_to: int = PAIRS_UP_TO, set_size: int | None =
         values = large.select("comp", F.explode(F.transform(F.array(*map(F.lit, _around())), lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
         met = values.groupBy("value").agg(F.collect_set("comp").alias("comps")).where(F.size("comps") > 1)
         pairs = pairs.union(met.select(F.explode("comps").alias("u"), F.array_min("comps").alias("v")))
-    return _labelled(state, components(pairs), "comp")
+    return _labelled(state, components(pairs), "comp").select("fp", "comp")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -150,8 +152,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     prints = cut(fingerprints(docs, key, text).withColumnRenamed(key, "key"))
     own = prints.groupBy("fp").agg(F.min("key").alias("first"))
     linked = cut(link(own, **how).join(own, "fp"))
-    lowest = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of = linked.join(lowest, "comp").select("fp", "component_id")
+    # A fingerprint alone is its own component. Those of larger ones find the least key of theirs by one of SALTS copies.
+    many = linked.groupBy("comp").agg(F.min("first").alias("least"), F.count("*").alias("members")).where("members > 1")
+    copies = many.select("comp", "least", F.lit(True).alias("found"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    of = salted.join(copies, ["comp", "salt"], "left").select("fp", F.when(F.col("found"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(of, "fp").select(F.col("key").alias(key), hexed.alias("fingerprint"), "component_id")
 
@@ -163,6 +168,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     found = near_duplicates(docs, key, text)
     kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
-    first = docs.join(kept, key, "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    order, row = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last()), spare(docs.columns, "row")
+    first = docs.join(kept, key, "left_semi").select(*docs.columns, F.row_number().over(order).alias(row)).where(F.col(row) == 1).drop(row)
     return first.unionByName(docs.where(F.col(key).isNull()))
