@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 16_384
-LEAF_BYTES = 32
+#: Spans up to this many characters, and matches up to this many bytes, are leaves; so are this many ids in decoding.
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 512, 32, 128
 #: Matches longer than this are encoded by halves of their own.
 LONG_MATCH = 256
 
@@ -123,7 +123,7 @@ class TreeBPE:
 
     def decode(self, ids) -> bytes:
         """Bytes of ids, concatenated up a tree."""
-        if len(ids) <= 4096:
+        if len(ids) <= LEAF_IDS:
             return self.library.decode_bytes(ids)
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
