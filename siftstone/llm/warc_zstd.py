@@ -1,9 +1,12 @@
 """WARC archives in Zstandard form: written record by record, and read back with checks.
 
-An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself compressed or plain;
-each record is one Zstandard frame with its length and a checksum. The reader loads the dictionary, walks the frames by
+An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself compressed or plain. One
+dictionary is trained for a whole table, on its ``SAMPLES`` records of the least hash (``SAMPLE_BYTES`` of each); where that
+is too little to train on, the sample itself is the dictionary, so each archive has one. Each record is one Zstandard frame with its length and a checksum. The reader loads the dictionary, walks the frames by
 their block headers, decodes one frame for one record, and checks the version line, the mandatory headers, the
-lengths of frame, block and payload, and the payload's digest. What fails a check raises ``WarcError``.
+lengths of frame, block and payload, and the payload's digest. What fails a check raises ``WarcError``. Records other than
+HTTP ones (warcinfo, metadata, resource) have their block as payload; ids of any form, frames without a content size and
+records without a digest are read as well.
 
 Of records with equal payloads of at least ``least_bytes`` the one with the least id is the response, the others
 are revisits of it; rows that share that least id are responses each. Null payloads are empty, null urls have
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint_dir
+from .common import checkpoint_dir, cut
 
 DICT_FRAME, ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
 VERSION = b"WARC/1.1"
@@ -55,7 +58,7 @@ def _urn(page_id) -> str:
 
 def _id(urn: str) -> int | None:
     name = urn.removeprefix("<urn:page:").removesuffix(">")
-    return None if name == "none" else int(name)
+    return int(name) if name.removeprefix("-").isdecimal() else None
 
 
 def _uri(url: str) -> str:
@@ -75,24 +78,23 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
     return VERSION + b"\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from evenly spaced records; none if there is too little to learn from."""
-    chosen = [r[:SAMPLE_BYTES] for r in records[:: max(1, -(-len(records) // SAMPLES))]]
-    if len(chosen) < 8 or sum(map(len, chosen)) < 8 * DICT_BYTES:
-        return None
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, chosen, k=256, d=8, dict_id=int.from_bytes(hashlib.sha1(b"".join(chosen)).digest()[:4], "little") % (1 << 31) + (1 << 15))
-    except zstandard.ZstdError:
-        return None
+def train(records: list[bytes]) -> bytes:
+    """A dictionary from a few records, or these themselves (at least the head that all share) if they are too few."""
+    chosen = [r[:SAMPLE_BYTES] for r in records]
+    if len(chosen) >= 8 and sum(map(len, chosen)) >= 8 * DICT_BYTES:
+        try:
+            return zstandard.train_dictionary(DICT_BYTES, chosen, k=256, d=8, dict_id=int.from_bytes(hashlib.sha1(b"".join(chosen)).digest()[:4], "little") % (1 << 31) + (1 << 15)).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return (b"".join(chosen) + record(0, "http://example.org/", b""))[-DICT_BYTES:]
 
 
-def write_archive(records: list[bytes]) -> bytes:
+def write_archive(records: list[bytes], dictionary: bytes) -> bytes:
     """An archive of these records."""
-    learned, out = train(records), io.BytesIO()
-    if learned is not None:
-        packed = zstandard.ZstdCompressor(level=19).compress(learned.as_bytes())
-        out.write(DICT_FRAME.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
-    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=learned, write_checksum=True, write_content_size=True)
+    out = io.BytesIO()
+    packed = zstandard.ZstdCompressor(level=19).compress(dictionary)
+    out.write(DICT_FRAME.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
+    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True)
     for r in records:
         out.write(press.compress(r))
     return out.getvalue()
@@ -127,7 +129,7 @@ def read_archive(content: bytes) -> Iterator[dict]:
         if len(held) < n:
             raise WarcError("the dictionary is cut off")
         if held[:4] == ZSTD_FRAME.to_bytes(4, "little"):
-            held = zstandard.ZstdDecompressor().decompress(held)
+            held = zstandard.ZstdDecompressor().decompressobj().decompress(held)
         learned, at = zstandard.ZstdCompressionDict(held), 8 + n
     press = zstandard.ZstdDecompressor(dict_data=learned) if learned else zstandard.ZstdDecompressor()
     while at < len(data):
@@ -143,10 +145,11 @@ def read_archive(content: bytes) -> Iterator[dict]:
         frame = bytes(data[at:end])
         size = zstandard.frame_content_size(frame)
         try:
-            text = press.decompress(frame)
+            press_one = press.decompressobj()
+            text = press_one.decompress(frame)
         except zstandard.ZstdError as e:
             raise WarcError(f"the frame at byte {at} can't be decoded: {e}") from e
-        if size >= 0 and size != len(text):
+        if not press_one.eof or size >= 0 and size != len(text):
             raise WarcError("a frame's length is not as its header says")
         yield parse_record(text)
         at = end
@@ -173,20 +176,26 @@ def parse_record(text: bytes) -> dict:
         raise WarcError(f"a record lacks {', '.join(missing)}")
     if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError("a block's length is not as its header says")
-    http, gap, payload = rest[:-4].partition(b"\r\n\r\n")
+    kind, block = headers["warc-type"], rest[:-4]
+    if not headers.get("content-type", "").replace(" ", "").startswith("application/http"):
+        if kind == "revisit" and "warc-refers-to" not in headers:
+            raise WarcError("a revisit must refer to a record")
+        return {"headers": headers, "status": "", "http": {}, "payload": block, "payload_bytes": len(block)}
+    http, gap, payload = block.partition(b"\r\n\r\n")
     if not gap:
         raise WarcError("a block has no HTTP headers")
     status, _, lines = http.partition(b"\r\n")
     fields = _headers(lines)
-    n = int(fields.get("content-length", "-1"))
-    if headers["warc-type"] == "response":
+    n = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else len(payload)
+    if kind == "response":
         if n != len(payload):
             raise WarcError("a payload's length is not as its header says")
-        if headers.get("warc-payload-digest") != f"sha1:{digest(payload)}":
+        named = headers.get("warc-payload-digest", "")
+        if named.startswith("sha1:") and named != f"sha1:{digest(payload)}":
             raise WarcError("a payload's digest is not as its header says")
-    elif headers["warc-type"] == "revisit" and ("warc-refers-to" not in headers or payload):
+    elif kind == "revisit" and ("warc-refers-to" not in headers or payload):
         raise WarcError("a revisit must refer to a record and have no payload")
-    return {"headers": headers, "status": status.decode(), "http": fields, "payload": payload, "payload_bytes": n}
+    return {"headers": headers, "status": status.decode("latin-1"), "http": fields, "payload": payload, "payload_bytes": n}
 
 
 def first_records(pages: DataFrame, key: str, payload: str, least_bytes: int) -> DataFrame:
@@ -196,11 +205,19 @@ def first_records(pages: DataFrame, key: str, payload: str, least_bytes: int) ->
     return slim.groupBy("sum").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sum", "first")
 
 
+def learn(pages: DataFrame, key: str, url: str, payload: str) -> bytes:
+    """The dictionary for ``pages``; what comes to the driver is bounded by ``SAMPLES`` and ``SAMPLE_BYTES``."""
+    raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    slim = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.substring(raw, 1, SAMPLE_BYTES).alias("start"), F.xxhash64(F.col(key), raw).alias("place"))
+    return train([record(r["key"], r["url"], bytes(r["start"])) for r in slim.orderBy("place", "key", "url", "start").limit(SAMPLES).collect()])
+
+
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """(name, records, content) for each archive; every row of ``pages`` is a record of one of them."""
-    first = first_records(pages, key, payload, least_bytes).persist()
+    first = cut(first_records(pages, key, payload, least_bytes))
     if first.count() <= BROADCAST_ROWS:
         first = F.broadcast(first)
+    learned = learn(pages, key, url, payload)
     raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), raw.alias("payload"), F.sha1(raw).alias("sum")).join(first, "sum", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("key")), F.col("first"))
@@ -210,7 +227,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
         held, size, made, task = [], 0, 0, TaskContext.get().partitionId()
 
         def archive() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{task:05d}-{made:05d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([write_archive(held)], pa.binary())], ["name", "records", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{task:05d}-{made:05d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([write_archive(held, learned)], pa.binary())], ["name", "records", "content"])
 
         for batch in batches:
             for k, u, p, r in zip(*batch.columns):
@@ -226,17 +243,20 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
 
 
 def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) for each record."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload, record_id) for each record. page_id and
+    refers_to are null where an id is not one that ``write_archives`` gives; record_id is the id as it stands. A response's
+    missing digest is computed, a revisit's is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "record_id"]
+        named = lambda r: r["headers"]["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in r["headers"] else None if r["headers"]["warc-type"] == "revisit" else digest(r["payload"])
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
         for batch in batches:
             for value in batch.column(0):
                 rows, size = [], 0
                 for r in read_archive(value.as_py()):
                     h = r["headers"]
-                    rows.append((_id(h["warc-record-id"]), h.get("warc-target-uri"), r["payload_bytes"], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], _id(h["warc-refers-to"]) if "warc-refers-to" in h else None, r["payload"] if h["warc-type"] == "response" else None))
+                    rows.append((_id(h["warc-record-id"]), h.get("warc-target-uri"), r["payload_bytes"], named(r), h["warc-type"], _id(h["warc-refers-to"]) if "warc-refers-to" in h else None, r["payload"] if h["warc-type"] != "revisit" else None, h["warc-record-id"]))
                     size += len(r["payload"])
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -244,7 +264,7 @@ def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType())])
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("record_id", T.StringType())])
     return archives.select(content).mapInArrow(run, schema)
 
 
