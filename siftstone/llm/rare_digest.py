@@ -13,18 +13,21 @@ other by 0. Equal texts have equal fingerprints; fingerprints may be compared if
 
 A document's *next* is the one with the next lower id, the last one's is the first. Documents are dealt out by ranges
 of ids and sorted there, and the first document of a range is dealt to the range before it as well, so whole texts
-are moved once. Rows with equal ids are ordered by a hash of their text; null ids come last.
+are moved once. There is a range for each ``RANGE_BYTES`` of text, so what a task holds does not grow with the input. Rows
+with equal ids are ordered by a hash of their text and stay in one range; null ids come last. Ids must be whole numbers.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +36,8 @@ WINDOW, STEPS, NEIGHBOURS, POINTS = 64, 1000, 64, 16
 FILTER_BYTES, PER_FILTER, BITS_SET = 256, 160, 5
 WEAK = int(STEPS / np.log2(WINDOW))
 LAST_RANK = 65_535
+#: Documents are dealt out in ranges of about this many bytes of text.
+RANGE_BYTES = 64 << 20
 _N = np.arange(WINDOW + 1, dtype=np.float64)
 _PLOGP = _N * np.log2(np.maximum(_N, 1))
 #: What one more of a byte that the window has c times adds to the sum of c log c.
@@ -176,27 +181,23 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray, key: str = "doc_id", text:
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
 
 
-def _dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _dealt(docs: DataFrame, key: str, text: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(place, guest, key, text): rows by ranges of keys, and the first row of each range as guest of the one before."""
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     low = -(1 << 63)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(key), F.lit(low)).alias("k"))
-    found = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    bounds = sorted(set(found))
-    group = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + group] for i in range(0, len(bounds), group)] or [[low]]
-    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    below = lambda values, c: F.size(F.filter(values, lambda b: b < c))
-    coarse = F.greatest(below(longs([g[0] for g in groups]), F.col("k")), F.lit(1))
-    place = coarse * F.lit(group) - F.lit(group) + below(F.element_at(F.array(*map(longs, groups)), coarse), F.col("k"))
-    rows = rows.withColumn("place", place)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("k"))
+    size = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    bounds = rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] or []
+    splits = [-math.inf, *sorted({float(b) for b in bounds}), math.inf]
+    rows = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(rows.withColumn("at", F.col("k").cast("double")))
+    rows = rows.select("key", "text", "k", F.col("bucket").cast("int").alias("place"))
     heads = sorted(((r["place"], r["k"]) for r in rows.groupBy("place").agg(F.max("k").alias("k")).collect()), reverse=True)
     before = [(heads[i - 1][0], k) for i, (_, k) in enumerate(heads)]
     guests = F.broadcast(spark.createDataFrame(before, "guest_of int, k long"))
     targets = F.when(F.col("guest_of").isNull(), F.array(F.struct(F.col("place"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("place"), F.lit(0).alias("guest")), F.struct(F.col("guest_of").alias("place"), F.lit(1).alias("guest"))))
     spread = rows.join(guests, "k", "left").select("key", "k", "text", F.explode(targets).alias("t"))
-    return spread.select("t.place", "t.guest", "key", "k", "text").repartition("place").sortWithinPartitions("place", "guest", F.desc("k"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    return spread.select("t.place", "t.guest", "key", "k", "text").repartition(max(len(heads), int(spark.conf.get("spark.sql.shuffle.partitions"))), "place").sortWithinPartitions("place", "guest", F.desc("k"), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def compare_with_next(docs: DataFrame, ranks: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,6 +224,8 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, key: str = "doc_id", t
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a column of whole numbers")
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType()))])
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("key", key)
