@@ -27,22 +27,42 @@ def bands(count: int) -> list[tuple[int, int]]:
     return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
 
 
+def first_of_hash(rows: DataFrame, hash_: str = "p_hash", order: str = "ord") -> DataFrame:
+    """(order, first) of each row that has a hash: the first row with the same one, which stands for all of them in pairs."""
+    usable = rows.where(F.col(hash_).isNotNull()).select(order, F.col(hash_).alias("h"))
+    return usable.join(usable.groupBy("h").agg(F.min(order).alias("first")), "h").select(order, "first")
+
+
 def similar_pairs(rows: DataFrame, hash_: str = "p_hash", order: str = "ord", least: float = 0.95) -> DataFrame:
-    """(order_a, order_b, similarity) for each pair, a before b, whose 64-bit hashes are alike by ``least`` or more.
+    """(order_a, order_b, similarity) for each pair, a before b, of rows that stand for their hash (``first_of_hash``), whose 64-bit
+    hashes are alike by ``least`` or more. Copies of a hash are not expanded to pairs.
 
     At most d = floor(64 * (1 - least)) bits differ, so of d + 1 bands one is equal (pigeonhole): rows are joined on
-    bands, never all with all. Equal hashes are joined once, by value, and expanded only in the result."""
+    bands, never all with all."""
     most = int((1 - least) * 64 + 1e-9)
-    values = rows.where(F.col(hash_).isNotNull()).select(F.col(hash_).alias("h")).distinct()
+    values = rows.where(F.col(hash_).isNotNull()).groupBy(F.col(hash_).alias("h")).agg(F.min(order).alias("o"))
     key = [F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(mask)) for shift, mask in bands(most + 1)]
-    banded = values.select("h", F.posexplode(F.array(*key)).alias("band", "value"))
+    banded = values.select("h", "o", F.posexplode(F.array(*key)).alias("band", "value"))
     a, b = banded.alias("a"), banded.alias("b")
     near = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= most
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & near).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct()
-    left = rows.where(F.col(hash_).isNotNull()).select(F.col(order).alias("order_a"), F.col(hash_).alias("ha"))
-    right = rows.where(F.col(hash_).isNotNull()).select(F.col(order).alias("order_b"), F.col(hash_).alias("hb"))
-    pairs = met.join(left, "ha").join(right, "hb").where("order_a < order_b")
-    return pairs.select("order_a", "order_b", hash_similarity(F.col("ha"), F.col("hb")).alias("similarity"))
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.o") < F.col("b.o")) & near)
+    found = met.select(F.col("a.o").alias("order_a"), F.col("b.o").alias("order_b"), hash_similarity(F.col("a.h"), F.col("b.h")).alias("similarity"))
+    return found.dropDuplicates(["order_a", "order_b"])
+
+
+def text_hash(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, h): a hash of the whole text of each row that has a word, whose bits are nearer the more alike the texts are. Bit k is
+    set if it is set in more than half of the hashes (60 bits of MD5) of the text's runs of three words, or of all its words
+    if there are fewer. Sums of bits combine before the shuffle."""
+    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    runs = F.when(F.size("w") < 4, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))
+    each = rows.select(F.col(key).alias("key"), words.alias("w")).where(F.size("w") > 0).select("key", F.explode(runs).alias("r"))
+    hashed = each.select("key", F.conv(F.substring(F.md5("r"), 1, 15), 16, 10).cast("long").alias("v"))
+    sums = hashed.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.shiftright("v", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(60)])
+    bits = F.lit(0).cast("long")
+    for k in range(60):
+        bits = bits + F.when(2 * F.col(f"b{k}") > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+    return sums.select(F.col("key").alias(key), bits.alias("h"))
 
 
 def near_duplicates(rows: DataFrame, hash_: str = "p_hash", name: str = "name", order: str = "ord", least: float = 0.95) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import bytesops as B
 from ..functions.shipping import ship
 from ..operators import batch, duplicates, entities, identity, logs, metadata, raster, rules
+from ..sources import files as S
+from ..sources import hidden
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -124,7 +126,7 @@ def dhash_cells(spark: SparkSession, d: str) -> DataFrame:
     return pixels(spark, d).select("vec_id", raster.difference_hash(F.col("p"), 8, 8).alias("d_hash"))
 
 
-@query(f"with {_AHASH} select a.vec_id as vec_a, b.vec_id as vec_b, 1 - bit_count(xor(a.h, b.h)) / 64.0::double as similarity from ah a join ah b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 16")
+@query(f"with {_AHASH}, f as (select h, min(vec_id) as o from ah group by 1) select a.o as vec_a, b.o as vec_b, 1 - bit_count(xor(a.h, b.h)) / 64.0::double as similarity from f a join f b on a.o < b.o and bit_count(xor(a.h, b.h)) <= 16")
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.similar_pairs(hashes(spark, d), "h", "vec_id", 0.75).select(F.col("order_a").alias("vec_a"), F.col("order_b").alias("vec_b"), "similarity")
 
@@ -139,13 +141,17 @@ def near_duplicates_top1(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.near_duplicates(rows, "h", "name", "vec_id", 0.75).select("vec_id", "near_duplicate_of", "similarity")
 
 
-_TEXT_HASH = "h as (select doc_id, (('0x' || substr(md5(regexp_replace(text, '[^a-z]', '', 'g')[1:12]), 1, 15))::bigint) as h from documents)"
+_BITS = ", ".join(f"(2 * sum((v >> {k}) & 1) > count(*))::bigint << {k} as b{k}" for k in range(60))
+_TEXT_HASH = f"""hw as (select doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w from documents), hr as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as r from hw),
+ hv as (select doc_id, ('0x' || substr(md5(r), 1, 15))::bigint as v from hr), hb as (select doc_id, {_BITS} from hv group by 1), h as (select doc_id, {" + ".join(f"b{k}" for k in range(60))} as h from hb)"""
 
 
-@query(f"with {_TEXT_HASH} select a.doc_id as order_a, b.doc_id as order_b, 1 - bit_count(xor(a.h, b.h)) / 64.0::double as similarity from h a join h b on a.doc_id < b.doc_id and bit_count(xor(a.h, b.h)) <= 3")
+@query(f"with {_TEXT_HASH}, f as (select h, min(doc_id) as o from h group by 1) select o as order_a, doc_id as order_b, 1.0::double as similarity from h join f using (h) where doc_id > o union all select a.o, b.o, 1 - bit_count(xor(a.h, b.h)) / 64.0::double from f a join f b on a.o < b.o and bit_count(xor(a.h, b.h)) <= 3")
 def near_duplicates_banded(spark: SparkSession, d: str) -> DataFrame:
-    h = F.conv(F.substring(F.md5(F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 12)), 1, 15), 16, 10).cast("long")
-    return duplicates.similar_pairs(read(spark, d, "documents").select(F.col("doc_id").alias("ord"), h.alias("p_hash")))
+    """Each copy of a hash with the row that stands for it, and the pairs among these."""
+    rows = duplicates.text_hash(read(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("ord"), F.col("h").alias("p_hash"))
+    copies = duplicates.first_of_hash(rows).where("first < ord").select(F.col("first").alias("order_a"), F.col("ord").alias("order_b"), F.lit(1.0).alias("similarity"))
+    return copies.unionByName(duplicates.similar_pairs(rows))
 
 
 @query(
@@ -219,27 +225,15 @@ def edge_density(spark: SparkSession, d: str) -> DataFrame:
 _BYTES = f"b as (select doc_id, generate_subscripts({HEX_BYTES}, 1) - 1 as i, ('0x' || unnest({HEX_BYTES}))::int as v from documents)"
 
 
-def numbered_bytes(spark: SparkSession, d: str) -> DataFrame:
-    rows = files(spark, d).select("file_id", F.posexplode(B.byte_pairs(F.col("content"))).alias("i", "b"))
-    return rows.select("file_id", "i", F.conv("b", 16, 10).cast("int").alias("v"))
-
-
 @query(f"with {_BYTES}, o as (select doc_id, k, avg((v >> k::int) & 1) as p from b, range(0, 8) r(k) group by 1, 2) select doc_id as file_id, k as plane, round(case when p <= 0 or p >= 1 then 0 else -p * log2(p) - (1 - p) * log2(1 - p) end, 6) as entropy from o")
 def bit_plane_entropy(spark: SparkSession, d: str) -> DataFrame:
-    """All eight planes in one aggregation per file."""
-    rows = numbered_bytes(spark, d)
-    ones = rows.groupBy("file_id").agg(*[F.avg(F.shiftright("v", k).bitwiseAND(F.lit(1))).alias(f"p{k}") for k in range(8)])
-    planes = F.array(*[F.struct(F.lit(k).cast("long").alias("plane"), F.col(f"p{k}").alias("p")) for k in range(8)])
-    return ones.select("file_id", F.explode(planes).alias("x")).select("file_id", "x.plane", F.round(B.binary_entropy(F.col("x.p")), 6).alias("entropy"))
+    found = identity.byte_statistics(files(spark, d)).select("file_id", F.posexplode("planes").alias("plane", "e"))
+    return found.select("file_id", F.col("plane").cast("long").alias("plane"), F.round("e", 6).alias("entropy"))
 
 
 @query(f"with {_BYTES}, l as (select doc_id, v & 1 as bit, lag(v & 1) over (partition by doc_id order by i) as before from b) select doc_id as file_id, round(avg(bit), 6) as one_ratio, round(coalesce(avg((bit <> before)::int), 0), 6) as transition_rate from l group by 1")
 def lsb_transitions(spark: SparkSession, d: str) -> DataFrame:
-    """In array expressions, so that no file is sorted or shuffled."""
-    bits = F.transform(B.byte_pairs(F.col("content")), lambda b: F.conv(b, 16, 10).cast("int").bitwiseAND(F.lit(1)).cast("double"))
-    rows = files(spark, d).where(F.octet_length("content") > 0).select("file_id", bits.alias("l"))
-    changed = F.zip_with(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), F.slice("l", F.lit(1), F.greatest(F.size("l") - 1, F.lit(0))), lambda a, b: F.when(a != b, 1.0).otherwise(0.0))
-    return rows.select("file_id", F.round(raster.mean(F.col("l")), 6).alias("one_ratio"), F.round(raster.mean(changed), 6).alias("transition_rate"))
+    return identity.byte_statistics(files(spark, d)).select("file_id", F.round("one_ratio", 6).alias("one_ratio"), F.round("transition_rate", 6).alias("transition_rate"))
 
 
 _PAIRS = "select a.vec_id, a.vec_id as vec_a, b.vec_id as vec_b, a.embedding as ea, b.embedding as eb from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"
@@ -433,20 +427,162 @@ def printable_runs(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("file_id").agg(F.count("*").alias("runs"), F.max(F.length("r")).alias("longest"), F.sum(F.length("r").cast("long")).alias("stored"))
 
 
-_SIGNATURES = {"Windows PE/MZ": "MZ", "PDF document": "%PDF-", "GIF image": "GIF8", "WebP RIFF": "RIFF", "ZIP archive": "PK\x03\x04"}
-_SIGNATURES = {k: v for k, v in _SIGNATURES.items() if v.isprintable()}
+_MAGIC = [(kind, magic.hex().upper()) for kind, magic in hidden.SIGNATURES]
+_MAGIC_ROWS = ", ".join(f"('{k}', '{' '.join(h[i : i + 2] for i in range(0, len(h), 2))} ')" for k, h in _MAGIC)
 
 
-@query(" union all ".join(f"select doc_id as file_id, '{k}' as kind, (length(text) - length(replace(text, '{v}', ''))) // {len(v)} as hits from documents where contains(text[2:], '{v}') and not starts_with(text, '{v}')" for k, v in {**_SIGNATURES, "marker": "th"}.items()))
+@query(
+    f"""with m(kind, magic) as (values {_MAGIC_ROWS}), f as (select doc_id, hex(encode(text)) || ({[h for _, h in _MAGIC]!r})[(doc_id % {len(_MAGIC)} + 1)::int] || hex(encode(text)) || ({[h for _, h in _MAGIC]!r})[(doc_id * 3 % {len(_MAGIC)} + 1)::int] as h from documents),
+ w as (select doc_id, regexp_replace(substr(h, 3), '(..)', '\\1 ', 'g') as w from f) select doc_id as file_id, kind, (length(w) - length(replace(w, magic, ''))) // length(magic) as hits from w join m on contains(w, magic)"""
+)
 def signature_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures inside the content, those at its very start left out."""
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
-    each = F.filter(F.array(*[F.when(F.contains("text", F.lit(v)) & ~F.startswith("text", F.lit(v)), F.struct(F.lit(k).alias("kind"), F.floor((F.length("text") - F.length(F.replace("text", F.lit(v), F.lit("")))) / len(v)).alias("hits"))) for k, v in {**_SIGNATURES, "marker": "th"}.items()]), lambda x: x.isNotNull())
-    return rows.select("file_id", F.explode(each).alias("x")).select("file_id", "x.kind", "x.hits")
+    """All signatures inside files that hold two of them, by the operator that looks for embedded content."""
+    magic = F.array(*[F.unhex(F.lit(h)) for _, h in _MAGIC])
+    text, of = F.encode("text", "UTF-8"), lambda k: F.element_at(magic, (F.col("doc_id") * k % len(_MAGIC) + 1).cast("int"))
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.concat(text, of(1), text, of(3)).alias("content"))
+    found = S.children(S.inspect(rows, ("hidden",)), "hidden").where(F.col("kind").isin([k for k, _ in _MAGIC]))
+    return found.groupBy("file_id", "kind").agg(F.count("*").alias("hits"))
+
+
+def _hex_number(c, digits: int):
+    return F.lpad(F.hex(c.cast("long")), digits, "0")
+
+
+def _low_first(c, digits: int):
+    """Hex digits of a number, the lowest byte first."""
+    return F.array_join(F.reverse(F.regexp_extract_all(_hex_number(c, digits), F.lit("(..)"), F.lit(1))), "")
+
+
+_PART_KINDS = [0, 2, 3, 4, 6]
+
+
+def png_files(spark: SparkSession, d: str) -> DataFrame:
+    """A PNG for each part: its size from p_size and p_partkey, a text chunk with its name, up to three bytes behind the end."""
+    k = F.col("p_partkey")
+    chunk = lambda name, body: F.concat(_hex_number(F.length(body) / 2, 8), F.lit(name.encode().hex().upper()), body, _hex_number(F.crc32(F.unhex(F.concat(F.lit(name.encode().hex()), body))), 8))
+    kind = F.element_at(F.array(*[F.lit(f"{x:02X}") for x in _PART_KINDS]), (k % 5 + 1).cast("int"))
+    head = F.concat(_hex_number(F.col("p_size") * 7 + 1, 8), _hex_number(k % 300 + 1, 8), F.lit("08"), kind, F.lit("000000"))
+    text = F.concat(F.hex(F.encode(F.lit("Comment"), "UTF-8")), F.lit("00"), F.hex(F.encode("p_name", "UTF-8")))
+    whole = F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", head), chunk("tEXt", text), chunk("IEND", F.lit("")), F.repeat(F.lit("AB"), (k % 4).cast("int")))
+    return read(spark, d, "part").select(k.alias("file_id"), F.unhex(whole).alias("content"))
+
+
+def jpeg_files(spark: SparkSession, d: str) -> DataFrame:
+    """A JPEG for each customer: EXIF with maker (c_mktsegment), model (c_name) and orientation, a frame header, no picture data."""
+    k = F.col("c_custkey")
+    make, model = (F.concat(F.hex(F.encode(c, "UTF-8")), F.lit("00")) for c in ("c_mktsegment", "c_name"))
+    size = lambda h: F.length(h) / 2
+    entry = lambda tag, kind, n, value: F.concat(_low_first(F.lit(tag), 4), _low_first(F.lit(kind), 4), _low_first(n, 8), value)
+    start = F.lit(8 + 2 + 3 * 12 + 4)
+    entries = F.concat(entry(0x10F, 2, size(make), _low_first(start, 8)), entry(0x110, 2, size(model), _low_first(start + size(make), 8)), entry(0x112, 3, F.lit(1), F.concat(_low_first(k % 8 + 1, 4), F.lit("0000"))))
+    tiff = F.concat(F.lit("49492A0008000000"), _low_first(F.lit(3), 4), entries, F.lit("00000000"), make, model)
+    part = lambda marker, body: F.concat(F.lit(marker), _hex_number(size(body) + 2, 4), body)
+    frame = F.concat(F.lit("08"), _hex_number(k % 1000 + 16, 4), _hex_number(k % 700 + 16, 4), F.lit("03012200021101031101"))
+    whole = F.concat(F.lit("FFD8"), part("FFE1", F.concat(F.lit("457869660000"), tiff)), part("FFC0", frame), F.lit("FFD9"), F.repeat(F.lit("00"), (k % 3).cast("int")))
+    return read(spark, d, "customer").select(k.alias("file_id"), F.unhex(whole).alias("content"))
+
+
+_PNG = "p as (select p_partkey as k, p_name, p_size * 7 + 1 as w, p_partkey % 300 + 1 as h, [0, 2, 3, 4, 6][p_partkey % 5 + 1] as kind, 20 + length(p_name) as n from part)"
+
+
+@query(f"with {_PNG} select k as file_id, w::int as width, h::int as height, ([1, 3, 3, 2, 4])[k % 5 + 1]::int as channels, kind in (4, 6) as has_alpha, 8::int as bit_depth, (k % 4)::bigint as trailing_bytes, w / h::double as aspect_ratio from p")
+def png_facts(spark: SparkSession, d: str) -> DataFrame:
+    seen = S.inspect(png_files(spark, d), ("technical", "container"))
+    return seen.select("file_id", *[F.col(f"technical.{c}").alias(c) for c in ("width", "height", "channels", "has_alpha", "bit_depth", "aspect_ratio")], "container.trailing_bytes")
+
+
+@query(f"with {_PNG} select k as file_id, unnest([0, 1, 2])::int as ord, unnest([8, 33, 33 + n])::bigint as \"offset\", unnest([25, n, 12])::bigint as length, unnest(['IHDR', 'tEXt', 'IEND']) as type from p")
+def png_segments(spark: SparkSession, d: str) -> DataFrame:
+    return S.children(S.inspect(png_files(spark, d), ("container",)), "container", "segments").select("file_id", "ord", "offset", "length", "type")
+
+
+@query(f"with {_PNG} select k as file_id, unnest([0, 1, 2, 3, 4])::int as ord, unnest(['Image Width', 'Image Height', 'Bits Per Sample', 'Color Type', 'Textual Data']) as tag, unnest([w::text, h::text, '8', kind::text, 'Comment: ' || p_name]) as raw from p")
+def png_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return S.children(S.inspect(png_files(spark, d), ("metadata",)), "metadata", "fields").select("file_id", "ord", "tag", "raw")
+
+
+@query(f"with {_PNG} select k as file_id, 45 + n as \"offset\", (k % 4) || ' byte(s) follow the end of the picture.' as evidence, 3::int as confidence from p where k % 4 > 0")
+def trailing_payloads(spark: SparkSession, d: str) -> DataFrame:
+    found = S.children(S.inspect(png_files(spark, d), ("hidden",)), "hidden").where("kind = 'Trailing payload region'")
+    return found.select("file_id", "offset", "evidence", "confidence")
+
+
+_ORIENTED = ["TopLeft", "TopRight", "BottomRight", "BottomLeft", "LeftTop", "RightTop", "RightBottom", "LeftBottom"]
+
+
+@query(f"select c_custkey as file_id, (c_custkey % 700 + 16)::int as width, (c_custkey % 1000 + 16)::int as height, ({_ORIENTED!r})[c_custkey % 8 + 1] as orientation, '4:2:0' as chroma, (c_custkey % 3)::bigint as trailing_bytes from customer")
+def jpeg_facts(spark: SparkSession, d: str) -> DataFrame:
+    seen = S.inspect(jpeg_files(spark, d), ("technical", "container", "pixels"))
+    return seen.select("file_id", *[F.col(f"technical.{c}").alias(c) for c in ("width", "height", "orientation")], "pixels.chroma", "container.trailing_bytes")
+
+
+@query("select c_custkey as file_id, unnest(['Make', 'Model', 'Orientation', 'Image Height', 'Image Width']) as tag, unnest([c_mktsegment, c_name, (c_custkey % 8 + 1)::text, (c_custkey % 1000 + 16)::text, (c_custkey % 700 + 16)::text]) as raw from customer")
+def exif_fields(spark: SparkSession, d: str) -> DataFrame:
+    fields = S.children(S.inspect(jpeg_files(spark, d), ("metadata",)), "metadata", "fields")
+    return fields.where(F.col("tag").isin("Make", "Model", "Orientation", "Image Height", "Image Width")).select("file_id", "tag", "raw")
+
+
+#: Fields of made-up files, one for each order: directory, tag, value, and for which keys they are there.
+_FACTS = [
+    ("Exif IFD0", "Make", "Maker A", "true"), ("Exif IFD1", "Make", "Maker B", "k % 7 = 0"), ("Exif IFD0", "Model", "M1", "true"), ("Exif IFD1", "Model", "m1", "k % 3 = 0"), ("Exif IFD1", "Model", "M2", "k % 11 = 0"),
+    ("Exif SubIFD", "Lens Model", "L1", "k % 2 = 0"), ("Maker", "Lens Model", "L2", "k % 13 = 0"), ("Exif IFD0", "Software", "Tool 1", "k % 5 = 0"), ("XMP", "Software", "Tool 2", "k % 10 = 0"),
+    ("Exif SubIFD", "Body Serial Number", "S1", "k % 17 < 2"), ("Maker", "Lens Serial Number", "S2", "k % 17 = 1"), ("Exif IFD0", "Orientation", "Right side, top (Rotate 90 CW)", "k % 8 = 5"), ("Exif IFD0", "Orientation", "1", "k % 8 = 6"),
+    ("Exif SubIFD", "Exif Image Width", "100 pixels", "k % 6 = 0"), ("Exif SubIFD", "Exif Image Height", "80 pixels", "k % 6 = 0"),
+    ("Exif SubIFD", "Date/Time Original", "2024:01:10 10:00:00", "k % 2 = 1"), ("XMP", "DateTimeOriginal", "2024-01-10T10:00:00Z", "k % 19 = 1"), ("Exif SubIFD", "Date/Time Digitized", "2024:01:09 10:00:00", "k % 4 = 1"), ("Exif IFD0", "Date/Time", "2023-12-31 00:00:00", "k % 9 = 1"),
+    ("Exif Thumbnail", "Thumbnail Image Width", "160 pixels", "k % 3 = 1"), ("Exif Thumbnail", "Thumbnail Image Height", "120 pixels", "k % 3 = 1"),
+    ("GPS", "GPS Latitude", "1 deg", "k % 31 = 0"), ("Exif IFD0", "Artist", "someone", "k % 37 = 0"), ("IPTC", "Headline", "x", "k % 41 = 0"), ("JPEG Comment", "JPEG Comment", "c", "k % 43 = 0"),
+]
+
+
+def order_fields(spark: SparkSession, d: str) -> DataFrame:
+    each = F.filter(F.array(*[F.when(F.expr(when), F.struct(F.lit(i).alias("ord"), F.lit(a).alias("directory"), F.lit(b).alias("tag"), F.lit(v).alias("raw"))) for i, (a, b, v, when) in enumerate(_FACTS)]), lambda x: x.isNotNull())
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").alias("file_id"), F.explode(each).alias("x"))
+    return rows.select("file_id", "x.*", F.lit(None).cast("string").alias("parsed"))
+
+
+def order_boxes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select(k.alias("file_id"), (k % 3).cast("long").alias("trailing_bytes"), F.when(k % 8 == 0, F.array(F.lit("cut off"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+
+
+_K = "k as (select o_orderkey as k, o_orderkey % 50 + 1 as w, o_orderkey % 40 + 1 as h, ['TopLeft', 'RightTop'][o_orderkey % 2 + 1] as o from orders)"
+_CODES = [
+    ("file.extension_mismatch", 3, "k % 6 = 1"), ("container.trailing_bytes", 3, "k % 3 > 0"), ("container.structure_warning", 2, "k % 8 = 0"), ("metadata.make_conflict", 2, "k % 7 = 0"), ("metadata.model_conflict", 2, "k % 11 = 0"),
+    ("metadata.lens_conflict", 2, "k % 26 = 0"), ("metadata.software_conflict", 2, "k % 10 = 0"), ("metadata.software_present", 3, "k % 10 = 5"), ("metadata.serial_conflict", 1, "k % 17 = 1"),
+    ("metadata.orientation_mismatch", 2, "(k % 8 = 5 and o <> 'RightTop') or (k % 8 = 6 and o <> 'TopLeft')"), ("metadata.dimension_mismatch", 2, "k % 6 = 0 and (w <> 100 or h <> 80)"), ("image.extreme_small_dimension", 3, "w <= 2 or h <= 2"),
+    ("image.extreme_aspect_ratio", 3, "w / h::double > 20 or w / h::double < 0.05"), ("metadata.time_digitized_before_original", 1, "k % 4 = 1"), ("metadata.time_modified_before_original", 1, "k % 9 = 1 and (k % 2 = 1 or k % 19 = 1)"),
+    ("metadata.original_time_conflict", 1, "k % 2 = 1 and k % 19 = 1"), ("metadata.thumbnail_aspect_mismatch", 1, "k % 3 = 1 and abs(160 / 120::double - w / h::double) / greatest(0.0001, w / h::double) > 0.15"),
+]
+
+
+@query(f"with {_K} " + " union all ".join(f"select k as file_id, '{code}' as code, {n}::int as confidence from k where {when}" for code, n, when in _CODES))
+def consistency_rules(spark: SparkSession, d: str) -> DataFrame:
+    """All seventeen codes."""
+    k = F.col("o_orderkey")
+    orders = read(spark, d, "orders")
+    ident = orders.select(k.alias("file_id"), (k % 6 == 1).alias("extension_mismatch"), F.lit("PNG").alias("detected_type"), F.lit(".jpg").alias("extension"))
+    heads = orders.select(k.alias("file_id"), (k % 50 + 1).cast("int").alias("width"), (k % 40 + 1).cast("int").alias("height"), F.when(k % 2 == 0, "TopLeft").otherwise("RightTop").alias("orientation"))
+    return rules.consistency(ident, heads, order_fields(spark, d), order_boxes(spark, d)).select("file_id", "code", "confidence")
+
+
+_RISKS = [
+    ("privacy.gps", "k % 31 = 0", "1"), ("privacy.device_model", "true", "2 + (k % 7 = 0)::int + (k % 3 = 0)::int + (k % 11 = 0)::int"), ("privacy.serial", "k % 17 < 2", "1 + (k % 17 = 1)::int"), ("privacy.owner", "k % 37 = 0", "1"),
+    ("privacy.timestamp", "k % 2 = 1 or k % 4 = 1 or k % 9 = 1", "(k % 2 = 1)::int + (k % 4 = 1)::int + (k % 9 = 1)::int"), ("privacy.software", "k % 5 = 0", "1 + (k % 10 = 0)::int"), ("privacy.thumbnail", "k % 3 = 1", "2"),
+    ("privacy.xmp", "k % 10 = 0 or k % 19 = 1 or k % 23 = 0", "(k % 10 = 0)::int + (k % 19 = 1)::int"), ("privacy.iptc", "k % 41 = 0", "1"), ("privacy.comments", "k % 43 = 0 or k % 29 = 0", "(k % 43 = 0)::int"), ("privacy.trailing", "k % 3 > 0", "0"),
+]
+
+
+@query(f"with {_K} " + " union all ".join(f"select k as file_id, '{code}' as code, ({n})::bigint as fields from k where {when}" for code, when, n in _RISKS))
+def privacy_rules(spark: SparkSession, d: str) -> DataFrame:
+    """All eleven codes."""
+    k = F.col("o_orderkey")
+    kinds = F.filter(F.array(F.when(k % 23 == 0, "XMP "), F.when(k % 29 == 0, "tEXt")), lambda x: x.isNotNull())
+    segments = read(spark, d, "orders").select(k.alias("file_id"), F.explode(kinds).alias("type"), F.lit("").alias("description"))
+    return rules.privacy_risks(order_fields(spark, d), segments, order_boxes(spark, d)).select("file_id", "code", "fields")
 
 
 _BATCH = f"""with {_TEXT_HASH}, e as (select doc_id, len(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}\\b'))::int as n from documents), g as (select d.doc_id, 'doc_' || d.doc_id || '.txt' as file_name, sha256(text) as sha256, octet_length(encode(text)) as size_bytes,
- source in ('src1', 'src2') as has_gps, e.n as privacy_risk_count, h.h as p_hash, case when length(text) < 300 then 'too short' end as error from documents d join e using (doc_id) join h using (doc_id)),
+ source in ('src1', 'src2') as has_gps, e.n as privacy_risk_count, h.h as p_hash, case when length(text) < 300 then 'too short' end as error from documents d join e using (doc_id) left join h using (doc_id)),
  x as (select *, case when error is null then nullif(first_value(file_name) over (partition by error is null, sha256 order by doc_id), file_name) end as duplicate_of from g),
  p as (select b.doc_id, a.file_name as other, row_number() over (partition by b.doc_id order by bit_count(xor(a.p_hash, b.p_hash)), a.doc_id) as rn from x a join x b on a.doc_id < b.doc_id and a.error is null and b.error is null and b.duplicate_of is null and bit_count(xor(a.p_hash, b.p_hash)) <= 3),
  r as (select x.doc_id as ord, file_name, sha256, size_bytes, has_gps, privacy_risk_count, p_hash, error, duplicate_of, p.other as near_duplicate_of from x left join p on p.doc_id = x.doc_id and rn = 1)"""
@@ -454,9 +590,11 @@ _BATCH_COLUMNS = "ord, file_name, sha256, size_bytes, has_gps, privacy_risk_coun
 
 
 def batch_table(spark: SparkSession, d: str) -> DataFrame:
-    h = F.conv(F.substring(F.md5(F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 12)), 1, 15), 16, 10).cast("long")
+    docs = read(spark, d, "documents")
+    docs = docs.join(duplicates.text_hash(docs, "doc_id"), "doc_id", "left")
+    h = F.col("h")
     emails = F.size(F.filter(entities.found_in(F.col("text")), lambda e: e["kind"] == "Email"))
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("file_name"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("source").isin("src1", "src2").alias("has_gps"), emails.alias("privacy_risk_count"), h.alias("p_hash"), F.when(F.length("text") < 300, "too short").alias("error"))
+    rows = docs.select(F.col("doc_id").alias("ord"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("file_name"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("source").isin("src1", "src2").alias("has_gps"), emails.alias("privacy_risk_count"), h.alias("p_hash"), F.when(F.length("text") < 300, "too short").alias("error"))
     return batch.batch_rows(rows)
 
 
