@@ -11,6 +11,8 @@ import zlib
 
 import numpy as np
 
+from .jpeg import read_jpeg
+
 WEIGHTS = np.array([0.2126, 0.7152, 0.0722])
 # The standard luminance quantisation table, and the chrominance one, in natural order.
 LUMA_TABLE = [16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]
@@ -450,7 +452,9 @@ def read_bmp(data: bytes, most_pixels: int = 60_000_000) -> np.ndarray:
 
 
 def decode(data: bytes, most_pixels: int = 60_000_000) -> np.ndarray:
-    """RGBA of a PNG or BMP; other types are decoded by Spark's image source."""
+    """RGBA of a PNG, BMP or sequential JPEG; other types are decoded by Spark's image source."""
+    if data.startswith(b"\xff\xd8"):
+        return read_jpeg(data, most_pixels)
     if data.startswith(b"\x89PNG"):
         return read_png(data, most_pixels)
     if data[:2] == b"BM":

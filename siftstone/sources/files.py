@@ -82,24 +82,27 @@ def run_hidden(data: bytes) -> list[dict]:
 
 
 def measure(p) -> dict:
-    """All kernels on one decoded picture."""
-    a, d, h = pixels.perceptual_hashes(p)
-    return {"a_hash": a, "d_hash": d, "p_hash": h, "luma": pixels.luma_metrics(p), "stego": pixels.stego_metrics(p), "heuristics": pixels.heuristics(p)}
+    """The kernels on one decoded picture, each up to its own number of pixels; null above it."""
+    n = p.shape[0] * p.shape[1]
+    a, d, h = pixels.perceptual_hashes(p) if n <= HASH_PIXELS else (None, None, None)
+    stego = pixels.stego_metrics(p) if n <= STEGO_PIXELS else None
+    return {"a_hash": a, "d_hash": d, "p_hash": h, "luma": pixels.luma_metrics(p) if n <= HASH_PIXELS else None, "stego": stego, "heuristics": pixels.heuristics(p) if n <= HEURISTIC_PIXELS else None}
 
 
 def run_pixels(data: bytes) -> dict:
     """Measures of a picture that can be decoded here; for others an error and what the JPEG tables tell."""
-    quality, mean, chroma = pixels.jpeg_tables(data) if data.startswith(b"\xff\xd8") else (None, None, None)
+    jpeg = data.startswith(b"\xff\xd8")
+    quality, mean, chroma = pixels.jpeg_tables(data) if jpeg else (None, None, None)
     out = {"jpeg_quality": quality, "quantization_mean": mean, "chroma": chroma, "error": None, "indicators": []}
-    head = technical.inspect(data)
+    head, skipped = technical.inspect(data), {"code": "stego.skipped", "confidence": 0}
     try:
-        if head.error is None and head.width * head.height > HASH_PIXELS:
+        if head.error is None and head.width * head.height > HEURISTIC_PIXELS:
             raise ValueError("The picture has more pixels than the limit.")
-        out |= measure(pixels.decode(data, HASH_PIXELS))
-        found = pixels.stego_findings(out["stego"]) + pixels.heuristic_findings(out["heuristics"], False) + ([("pixel.jpeg_block_boundary", 1)] if out["luma"]["boundary_finding"] else [])
+        out |= measure(pixels.decode(data, HEURISTIC_PIXELS))
+        found = (pixels.stego_findings(out["stego"]) if out["stego"] else [("stego.skipped", 0)]) + pixels.heuristic_findings(out["heuristics"], jpeg) + ([("pixel.jpeg_block_boundary", 1)] if out["luma"] and out["luma"]["boundary_finding"] else [])
         out["indicators"] = [{"code": c, "confidence": k} for c, k in found]
     except ValueError as e:
-        out |= {"error": str(e), "indicators": [{"code": "stego.skipped", "confidence": 0}, {"code": "pixels.skipped", "confidence": 0}]}
+        out |= {"error": str(e), "indicators": [skipped, {"code": "pixels.skipped", "confidence": 0}]}
     return out
 
 

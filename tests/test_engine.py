@@ -160,7 +160,10 @@ def test_near_duplicates_equal_brute_force(spark):
         want[i] = f"n{best[1]}" if best else None
     frame = spark.createDataFrame(rows, "ord int, name string, p_hash long")
     assert {r["ord"]: r["near_duplicate_of"] for r in duplicates.near_duplicates(frame).collect()} == want
-    pairs = {(r["order_a"], r["order_b"]) for r in duplicates.similar_pairs(frame).collect()}
+    linked = {(r["order_a"], r["order_b"]) for r in duplicates.similar_pairs(frame).collect()}
+    first = {r["ord"]: r["first"] for r in duplicates.first_of_hash(frame).collect()}
+    assert set(first) == set(range(200)) and all(a < b and first[a] == a and first[b] == b for a, b in linked)
+    pairs = {(i, j) for i in first for j in first if i < j and (first[i] == first[j] or (min(first[i], first[j]), max(first[i], first[j])) in linked)}
     assert pairs == {(i, j) for i, _, h in rows for j, _, g in rows if i < j and ((h ^ g) & (2**64 - 1)).bit_count() <= 3}
 
 
@@ -212,3 +215,34 @@ def test_queries_and_oracles_have_the_same_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "exact_duplicates" in e.queries()
+
+
+def test_files_that_were_left_out_are_not_empty(spark):
+    rows = spark.createDataFrame([("a", "a.png", 10, bytearray(b"x" * 10)), ("b", "b.png", 99, None), ("c", "c.png", 0, None), ("d", "d.png", 0, bytearray())], "file_id string, name string, size_bytes long, content binary")
+    got = {r["file_id"]: (r["size_bytes"], r["error"]) for r in identity.identity(rows, max_bytes=50).collect()}
+    assert got == {"a": (10, None), "b": (99, "The file is larger than the limit."), "c": (0, "The file is empty."), "d": (0, "The file is empty.")}
+
+
+def test_byte_statistics_equal_plain_counts(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from siftstone.functions import bytestats
+
+    rng, old = random.Random(4), bytestats.PIECE
+    h = lambda counts, n: -sum(c / n * math.log2(c / n) for c in counts if c)
+    try:
+        for piece in (old, 7):
+            bytestats.PIECE = piece
+            for n in (1, 2, 6, 7, 8, 100, 1000):
+                data = bytes(rng.choice(b"abc\xff\x00") for _ in range(n))
+                s = bytestats.statistics(data)
+                assert abs(s["entropy"] - h(Counter(data).values(), n)) < 1e-9 and s["n_bytes"] == n
+                assert all(abs(s["planes"][k] - h([sum(b >> k & 1 for b in data), sum(1 - (b >> k & 1) for b in data)], n)) < 1e-9 for k in range(8))
+                assert s["transition_rate"] == (sum((a ^ b) & 1 for a, b in zip(data, data[1:])) / (n - 1) if n > 1 else 0.0)
+                blocks = [(b, e, m) for part in bytestats.block_entropies(data, 3) for b, e, m in zip(*part)]
+                assert [(b, m) for b, _, m in blocks] == [(i // 3, len(data[i : i + 3])) for i in range(0, n, 3)]
+                assert all(abs(e - h(Counter(data[3 * b : 3 * b + 3]).values(), m)) < 1e-9 for b, e, m in blocks)
+    finally:
+        bytestats.PIECE = old
