@@ -4,7 +4,8 @@ A word (a run of letters, lower-cased; of a long run each of its overlapping pie
 start and end, hashed to ``BUCKETS`` rows of an embedding. A word's vector is the mean of its features' rows, a
 document's the mean of its different words' vectors and ``PADDING`` zero vectors, so that neither much repeated words
 nor very short texts decide by chance. A linear layer with softmax turns that into two probabilities.
-Both the rows and the layer are learned by Adagrad on the same loss, so a misspelling that was never seen has
+Both the rows and the layer are learned by Adagrad on the same loss, with steps that get smaller and an average over the
+later half of the epochs, so that little depends on the order of documents; and a misspelling that was never seen has
 the vectors of those n-grams that it shares with known words.
 
 The layer is linear, so after training each feature counts by a single number; scoring adds these up over the
@@ -34,11 +35,13 @@ from .common import cut
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 DOCS_PER_LABEL, SAMPLE_BYTES = 2500, 256 << 20
-EPOCHS, BATCH, RATE, START, GAIN, PADDING, DECAY = 14, 64, 0.3, 1e-8, 8.0, 30, 1e-3
+EPOCHS, BATCH, RATE, START, GAIN, PADDING, DECAY = 16, 64, 0.3, 1e-8, 8.0, 30, 1e-3
 #: Share of a document's words that each epoch leaves out at random, so that rare words can't stand for a document.
-DROP = 0.8
+DROP = 0.7
 #: A feature of n training documents counts by n / (n + DOUBT): what was met rarely is trusted less, but never left out.
-DOUBT = 64.0
+DOUBT = 16.0
+#: How far the rarer label counts as much as the other: 0 not at all, 1 wholly.
+BALANCE = 0.75
 #: Longer runs of letters count as consecutive pieces of this length, which overlap so that every n-gram is in one.
 WORD_CHARS = 64
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,9 +122,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     layer, bias = rng.uniform(-0.5, 0.5, (DIM, 2)), np.zeros(2)
     seen_table, seen_layer, seen_bias = np.full(BUCKETS, START), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
     y = np.asarray(labels)
-    balance = len(y) / (2.0 * np.bincount(y, minlength=2)[:2])
+    balance = (len(y) / (2.0 * np.bincount(y, minlength=2)[:2])) ** BALANCE
     per_row = lambda at, values, n: np.stack([np.bincount(at, weights=values[:, d], minlength=n) for d in range(values.shape[1])], axis=1)
+    total, offset, taken = np.zeros(BUCKETS), 0.0, 0
     for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(len(y))
         kept = [b[rng.random(len(b)) >= DROP] for b in bags]
         for at in range(0, len(y), BATCH):
@@ -147,12 +152,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             to_vectors = per_row(inverse, to_mean[doc] * share[:, None], len(own)) / n[:, None]
             to_table = per_row(slot, np.repeat(to_vectors, n, axis=0), len(used)) * own_trust
             seen_table[used] += (to_table**2).mean(axis=1)
-            table[used] -= RATE * (to_table / np.sqrt(seen_table[used])[:, None] + DECAY * table[used])
+            table[used] -= rate * (to_table / np.sqrt(seen_table[used])[:, None] + DECAY * table[used])
             seen_layer += to_layer**2
-            layer -= RATE * to_layer / np.sqrt(seen_layer)
+            layer -= rate * to_layer / np.sqrt(seen_layer)
             seen_bias += to_bias**2
-            bias -= RATE * to_bias / np.sqrt(seen_bias)
-    return Model((GAIN * trust * table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+            bias -= rate * to_bias / np.sqrt(seen_bias)
+        if 2 * epoch >= EPOCHS:
+            total += GAIN * (trust * table) @ (layer[:, 1] - layer[:, 0])
+            offset, taken = offset + float(bias[1] - bias[0]), taken + 1
+    return Model((total / taken).astype(np.float32), offset / taken)
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int = DOCS_PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
