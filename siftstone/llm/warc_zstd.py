@@ -206,10 +206,17 @@ def first_records(pages: DataFrame, key: str, payload: str, least_bytes: int) ->
 
 
 def learn(pages: DataFrame, key: str, url: str, payload: str) -> bytes:
-    """The dictionary for ``pages``; what comes to the driver is bounded by ``SAMPLES`` and ``SAMPLE_BYTES``."""
-    raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    slim = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.substring(raw, 1, SAMPLE_BYTES).alias("start"), F.xxhash64(F.col(key), raw).alias("place"))
-    return train([record(r["key"], r["url"], bytes(r["start"])) for r in slim.orderBy("place", "key", "url", "start").limit(SAMPLES).collect()])
+    """The dictionary for ``pages``; what comes to the driver is bounded by ``SAMPLES`` and ``SAMPLE_BYTES``. The ids' hashes are
+    ranked first, which reads no payload and sends a few bytes for each task; then the records of the least hashes are
+    fetched, one for each hash (of rows that share an id, or have none, the least)."""
+    place = F.xxhash64(F.col(key))
+    least = [r[0] for r in pages.select(place.alias("place")).orderBy("place").limit(SAMPLES).collect()]
+    if not least:
+        return train([])
+    start = F.substring(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 1, SAMPLE_BYTES)
+    near = pages.where(place <= least[-1]).select(place.alias("place"), F.struct(F.col(key).alias("key"), F.col(url).alias("url"), start.alias("start")).alias("r"))
+    rows = near.groupBy("place").agg(F.min("r").alias("r")).collect()
+    return train([record(r["r"]["key"], r["r"]["url"], bytes(r["r"]["start"])) for r in sorted(rows, key=lambda r: r["place"])])
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 import pytest
 import zstandard
 
-from siftstone.llm.warc_zstd import WarcError, load, read_archive, read_archives, record, save, stored, train, write_archive, write_archives
+from siftstone.llm.warc_zstd import SAMPLES, WarcError, learn, load, read_archive, read_archives, record, save, stored, train, write_archive, write_archives
 
 ROWS = [(1, "http://a.org/", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://b.org/x y\r\nz", None), (4, "http://c.org", ""), (5, "http://d.org", "é漢" * 20000), (7, "u", "<p>same</p>"), (1, "http://a.org/", "<p>same</p>"), (None, "n", "<p>same</p>"), (None, "n", "only"), *((100 + i, f"http://h{i}.org/", f"<html><body>page {i} " + "text " * 300 + "</body></html>") for i in range(60))]
 
@@ -35,6 +35,15 @@ def test_round_trip(spark, tmp_path):
     assert write_archives(pages.limit(0)).count() == 0
 
 
+def test_sample_of_the_dictionary(spark):
+    """The same whatever the partitions, with many rows of one id or none, and for an empty table."""
+    rows = [(i, f"http://h{i}.org/", f"<p>{i} " + "word " * 100) for i in range(3 * SAMPLES)] + [(7, "http://copy.org/", "copy")] * 500 + [(None, None, None)] * 500
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    once = learn(pages.repartition(7), "page_id", "url", "html")
+    assert once == learn(pages.orderBy("html").coalesce(2), "page_id", "url", "html") and len(once) > 1000
+    assert learn(pages.limit(0), "page_id", "url", "html") == train([])
+
+
 def test_dictionary_and_frames():
     records = [record(i, "http://x.org/", (f"<html>{i} " + "word " * 400).encode()) for i in range(100)]
     data = write_archive(records, train(records))
