@@ -121,6 +121,11 @@ def hash_to_hex(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
+def has_arabic(text: Column) -> Column:
+    """Whether a letter of the Arabic blocks occurs."""
+    return F.regexp_like(text, F.lit(r"[\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF]"))
+
+
 def lookup_url(sha256: Column, base: str = "https://www.virustotal.com/gui/search/") -> Column:
     """Where a SHA-256 can be looked up by hand; null if it is not one. Nothing is fetched."""
     return F.when(F.regexp_like(sha256, F.lit("^[0-9a-fA-F]{64}$")), F.concat(F.lit(base), F.lower(sha256)))

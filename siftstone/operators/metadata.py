@@ -87,6 +87,22 @@ def first_decimal(text: Column) -> Column:
     return F.replace(F.regexp_extract(text, r"[-+]?\d+(?:[.,]\d+)?", 0), F.lit(","), F.lit(".")).try_cast("double")
 
 
+def stamp(time: Column) -> Column:
+    """Fourteen digits for names of files."""
+    return F.date_format(time, "yyyyMMddHHmmss")
+
+
+def round_trip(time: Column) -> Column:
+    """ISO 8601 with seven decimals and the session's offset."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSxxx")
+
+
+def camera_fields(fields: DataFrame) -> DataFrame:
+    """Fields that name a device, its parts or its program."""
+    tag = F.col("tag")
+    return fields.where(is_tag(tag, "Make", "Model", "Software") | has(tag, "Lens", "Serial"))
+
+
 def with_meaning(fields: DataFrame) -> DataFrame:
     """``fields`` with ``meaning`` by tag. The table of meanings is a constant of this module, so it is broadcast."""
     known = fields.sparkSession.createDataFrame([(k.lower(), v) for k, v in MEANINGS.items()], "__tag string, __meaning string")

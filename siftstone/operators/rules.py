@@ -55,14 +55,15 @@ def privacy_conditions(directory: Column, tag: Column, value: Column) -> dict[st
     }
 
 
-def privacy_risks(fields: DataFrame, segments: DataFrame | None = None, containers: DataFrame | None = None, key: str = "file_id") -> DataFrame:
+def privacy_risks(fields: DataFrame, segments: DataFrame | None = None, containers: DataFrame | None = None, key: str = "file_id", more: dict[str, Column] | None = None) -> DataFrame:
     """(key, code, title, fields, examples, confidence): one row for each file and code.
 
     ``fields``: key, ord, directory, tag, raw, parsed. ``segments``: key, type, description. ``containers``: key, trailing_bytes.
+    ``more`` has conditions on fields by code; they replace those of known codes, and a new code is its own title.
     ``fields`` counts the matching fields, ``examples`` has up to four distinct ones in order. Each field is matched against all
     rules at once and only its hits are shuffled."""
     value = shown(F.col("parsed"), F.col("raw"))
-    hit = F.filter(F.array(*[F.when(c, F.lit(code)) for code, c in privacy_conditions(F.col("directory"), F.col("tag"), value).items()]), lambda x: x.isNotNull())
+    hit = F.filter(F.array(*[F.when(c, F.lit(code)) for code, c in (privacy_conditions(F.col("directory"), F.col("tag"), value) | (more or {})).items()]), lambda x: x.isNotNull())
     label = F.concat(F.lit("["), "directory", F.lit("] "), "tag")
     hits = fields.select(key, "ord", label.alias("label"), F.explode(hit).alias("code"))
     one = hits.groupBy(key, "code", F.lower("label").alias("low")).agg(F.count("*").alias("n"), F.min(F.struct("ord", "label")).alias("f"))
@@ -76,7 +77,7 @@ def privacy_risks(fields: DataFrame, segments: DataFrame | None = None, containe
     if containers is not None:
         found = found.unionByName(containers.where("trailing_bytes > 0").select(key, F.lit("privacy.trailing").alias("code"), F.lit(0).cast("long").alias("fields"), none.alias("examples")))
     merged = found.groupBy(key, "code").agg(F.max("fields").alias("fields"), F.max_by("examples", "fields").alias("examples"))
-    title = F.element_at(F.create_map(*[F.lit(x) for pair in PRIVACY_TITLES.items() for x in pair]), F.col("code"))
+    title = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in PRIVACY_TITLES.items() for x in pair]), F.col("code")), F.col("code"))
     return merged.select(key, "code", title.alias("title"), "fields", "examples", F.lit(CONFIRMED).alias("confidence"))
 
 
@@ -90,6 +91,11 @@ def sensitive(risks: DataFrame, codes: tuple[str, ...] = SENSITIVE) -> DataFrame
     return risks.where(F.lower("code").isin([c.lower() for c in codes]))
 
 
+def confirmed(indicators: DataFrame) -> DataFrame:
+    """Indicators that were directly observed."""
+    return indicators.where(F.col("confidence") == CONFIRMED)
+
+
 def metadata_time(text: Column) -> Column:
     """A timestamp in one of the usual formats; null if it is none. Times without a zone are in the session's."""
     t = F.trim(text)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytesops as B
@@ -13,6 +17,34 @@ from .identity import identity
 QUICK = ("technical",)
 
 
+#: Seconds that a scan may take.
+TIMEOUT = 120.0
+
+
+def within(spark: SparkSession, action: Callable, seconds: float = TIMEOUT):
+    """What ``action()`` gives. Spark jobs that it still runs after ``seconds`` are cancelled, and TimeoutError is raised."""
+    sc, group, late = spark.sparkContext, f"scan-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    before = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    sc.setJobGroup(group, "scan", interruptOnCancel=True)
+    timer = threading.Timer(seconds, stop)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the scan took more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        for k, v in before.items():
+            sc.setLocalProperty(k, v)
+
+
 def quick_scan(files: DataFrame) -> DataFrame:
     """Identity and header facts of each file; no other parser runs."""
     return identity(files, entropy=False).join(S.inspect(files, QUICK), "file_id", "left")

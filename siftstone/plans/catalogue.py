@@ -555,14 +555,35 @@ _CODES = [
 ]
 
 
-@query(f"with {_K} " + " union all ".join(f"select k as file_id, '{code}' as code, {n}::int as confidence from k where {when}" for code, n, when in _CODES))
-def consistency_rules(spark: SparkSession, d: str) -> DataFrame:
-    """All seventeen codes."""
+def order_findings(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     orders = read(spark, d, "orders")
     ident = orders.select(k.alias("file_id"), (k % 6 == 1).alias("extension_mismatch"), F.lit("PNG").alias("detected_type"), F.lit(".jpg").alias("extension"))
     heads = orders.select(k.alias("file_id"), (k % 50 + 1).cast("int").alias("width"), (k % 40 + 1).cast("int").alias("height"), F.when(k % 2 == 0, "TopLeft").otherwise("RightTop").alias("orientation"))
-    return rules.consistency(ident, heads, order_fields(spark, d), order_boxes(spark, d)).select("file_id", "code", "confidence")
+    return rules.consistency(ident, heads, order_fields(spark, d), order_boxes(spark, d))
+
+
+@query(f"with {_K} " + " union all ".join(f"select k as file_id, '{code}' as code, {n}::int as confidence from k where {when}" for code, n, when in _CODES))
+def consistency_rules(spark: SparkSession, d: str) -> DataFrame:
+    """All seventeen codes."""
+    return order_findings(spark, d).select("file_id", "code", "confidence")
+
+
+@query(f"with {_K} " + " union all ".join(f"select k as file_id, '{code}' as code from k where {when}" for code, n, when in _CODES if n == rules.CONFIRMED))
+def confirmed_findings(spark: SparkSession, d: str) -> DataFrame:
+    return rules.confirmed(order_findings(spark, d)).select("file_id", "code")
+
+
+@query(f"with {_K} " + " union all ".join(f"select k as file_id, {i} as ord, '{tag}' as tag, '{v}' as raw from k where {when}" for i, (_, tag, v, when) in enumerate(_FACTS) if tag in ("Make", "Model", "Software") or "Lens" in tag or "Serial" in tag))
+def camera_fields(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.camera_fields(order_fields(spark, d)).select("file_id", "ord", "tag", "raw")
+
+
+@query(f"with {_K} select k as file_id, 'order.tool' as code, 1::bigint + (k % 10 = 0)::int as fields, 'order.tool' as title from k where k % 5 = 0")
+def injected_rule(spark: SparkSession, d: str) -> DataFrame:
+    """A condition of the caller's own beside the built-in ones."""
+    found = rules.privacy_risks(order_fields(spark, d), more={"order.tool": metadata.has(F.col("raw"), "tool")})
+    return found.where("code = 'order.tool'").select("file_id", "code", "fields", "title")
 
 
 _RISKS = [
@@ -659,6 +680,24 @@ def count_rollup(spark: SparkSession, d: str) -> DataFrame:
     return counted.groupBy("kind").agg(F.count("*").alias("n"), F.sum("lines").alias("lines"))
 
 
+@query("select event_id, strftime(ts, '%Y%m%d%H%M%S') as stamp, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0' as round_trip from events")
+def date_formats(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", metadata.stamp(F.col("ts")).alias("stamp"), F.left(metadata.round_trip(F.col("ts")), F.lit(27)).alias("round_trip"))
+
+
+@query("select p_partkey, (p_size || '.' || p_partkey % 10)::double as aperture, p_size as whole from part")
+def first_numbers(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("f/"), "p_size", F.lit(","), (F.col("p_partkey") % 10).cast("string"), F.lit(" of 9.5"))
+    return read(spark, d, "part").select("p_partkey", metadata.first_decimal(text).alias("aperture"), metadata.first_number(text).alias("whole"))
+
+
+@query("select doc_id as file_id, doc_id % 4 < 2 or regexp_matches(text, '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]') as right_to_left from documents")
+def right_to_left(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with a letter of the Arabic blocks; one is added to half of them, and one of another block to the rest."""
+    mark = F.element_at(F.array(*map(F.lit, "\u0627\uFB50\u05D0\u0905")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), B.has_arabic(F.concat("text", mark)).alias("right_to_left"))
+
+
 @query()
 def algorithms(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import reports

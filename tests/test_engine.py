@@ -246,3 +246,21 @@ def test_byte_statistics_equal_plain_counts(spark):
                 assert all(abs(e - h(Counter(data[3 * b : 3 * b + 3]).values(), m)) < 1e-9 for b, e, m in blocks)
     finally:
         bytestats.PIECE = old
+
+
+def test_scans_end_in_time(spark):
+    assert scan.within(spark, lambda: spark.range(5).count(), 60) == 5
+    sleepy = spark.range(0, 4, 1, 4).mapInArrow(_slow, "id long")
+    with pytest.raises(TimeoutError):
+        scan.within(spark, sleepy.count, 1)
+    with pytest.raises(ZeroDivisionError):
+        scan.within(spark, lambda: 1 / 0, 60)
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None and spark.range(3).count() == 3
+
+
+def _slow(batches):
+    import time
+
+    for batch in batches:
+        time.sleep(20)
+        yield batch
