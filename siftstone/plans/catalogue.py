@@ -698,7 +698,7 @@ def right_to_left(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), B.has_arabic(F.concat("text", mark)).alias("right_to_left"))
 
 
-@query()
+@query("select doc_id as file_id, 'SHA-256, SHA-1, MD5, CRC-32, Shannon entropy' as algorithms from documents")
 def algorithms(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import reports
 
