@@ -60,3 +60,28 @@ def test_similar_pairs_of_far_hashes_meet_in_blocks(spark, monkeypatch, kind):
     want = sorted((order(i), order(j), 1 - (g ^ h).bit_count() / 64) for g, i in first.items() for h, j in first.items() if i < j and (g ^ h).bit_count() <= 16)
     assert sorted(map(tuple, out.collect())) == want and len(want) > 500
     assert duplicates.similar_pairs(frame.limit(0), least=0.75).count() == 0
+
+
+def test_near_duplicates_of_far_hashes_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK", (50, 1 << 20))
+    hashes = clustered(400, 6)
+    hashes[7], hashes[300] = hashes[3], hashes[3]
+    copies = {i for i in range(400) if i % 9 == 4}  # found by later rows, but looking for none
+    rows = [(i, f"n{i}", signed(h), "x" if i in copies else None) for i, h in enumerate(hashes)]
+    frame = spark.createDataFrame([*rows, (900, "none", None, None), (None, "lost", signed(hashes[3]), None)], "ord int, name string, p_hash long, duplicate_of string")
+    out = duplicates.near_duplicates(frame, least=0.75)
+    assert "band" not in out._jdf.queryExecution().toString()
+    want = {None: (None, None), 900: (None, None)}
+    for i, h in enumerate(hashes):
+        d, j = min((((g ^ h).bit_count(), j) for j, g in enumerate(hashes[:i])), default=(64, None))
+        want[i] = (f"n{j}", 1 - d / 64) if d <= 16 and i not in copies else (None, None)
+    got = out.collect()
+    assert len(got) == len(want) and {r["ord"]: (r["near_duplicate_of"], r["similarity"]) for r in got} == want
+    assert duplicates.near_duplicates(frame.limit(0), least=0.75).count() == 0
+
+
+def test_hashes_of_one_order_give_the_nearest_of_both(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK", (1, 1 << 20))
+    rows = [(0, "b", 0), (0, "a", 3 << 40), (1, "c", 1 << 40), (1, "d", 0x7F), (2, "e", -1)]
+    out = duplicates.near_duplicates(spark.createDataFrame(rows, "ord long, name string, p_hash long"), least=0.75).collect()
+    assert {(r["name"], r["near_duplicate_of"], r["similarity"]) for r in out} == {("b", None, None), ("a", None, None), ("c", "a", 1 - 1 / 64), ("d", "a", 1 - 1 / 64), ("e", None, None)}
